@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxoflow.llm import cooccurrence as co
-from taxoflow.llm import lookalike, topn, truth
+from taxoflow.llm import bpe, lookalike, packing, splitting, topn, truth
 from taxoflow.sources import table
 
 CARD_FIELDS = ["evidence_quote", "risk_definition_ko", "l4_name_en"]
@@ -56,7 +56,29 @@ def p7_forms(spark: SparkSession, root: str) -> DataFrame:
     return lookalike.forms(table(spark, root, "heart_l4_risk_cards"), "l4_id", CARD_FIELDS).select("field", "l4_id", "form")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p5_found, p5_votes, p7_found, p7_forms)}
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.token_ids(table(spark, root, "documents"), "doc_id", "text")
+
+
+def p9_containers(spark: SparkSession, root: str) -> DataFrame:
+    """Documents in containers of 2,048 tokens."""
+    return packing.pack(bpe.token_counts(table(spark, root, "documents"), ["doc_id"], "text"), "doc_id", "tokens", 2048)
+
+
+def p9_fill(spark: SparkSession, root: str) -> DataFrame:
+    """How full the containers are: their number, the least possible and the share of room used."""
+    sums = p9_containers(spark, root).groupBy("container").agg(F.sum("size").alias("size"))
+    whole = sums.agg(F.count("*").alias("containers"), F.sum("size").alias("tokens"), F.max("size").alias("fullest"))
+    return whole.select("containers", F.ceil(F.col("tokens") / 2048).alias("least"), "tokens", "fullest", F.round(F.col("tokens") / (F.col("containers") * 2048), 6).alias("used"))
+
+
+def p10_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """Documents of more than 512 tokens in pieces of at most 512 that share 64."""
+    return splitting.split_long(table(spark, root, "documents"), "doc_id", "text", 512, 64)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p5_found, p5_votes, p7_found, p7_forms, p8_ids, p9_containers, p9_fill, p10_pieces)}
 
 _P1 = """
 WITH held AS (SELECT DISTINCT taxonomy_snapshot AS s, case_id, l4_id FROM case_verification_table WHERE l4_id IS NOT NULL AND case_id IS NOT NULL),
