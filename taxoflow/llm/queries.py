@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxoflow.llm import cooccurrence as co
-from taxoflow.llm import bpe, lookalike, packing, splitting, topn, truth
+from taxoflow.llm import bpe, knn, lookalike, packing, splitting, topn, truth
 from taxoflow.sources import table
 
 CARD_FIELDS = ["evidence_quote", "risk_definition_ko", "l4_name_en"]
@@ -34,6 +34,17 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return topn.top_n_per_group(table(spark, root, "case_verification_table"), "case_id", "l4_id", "cosine_similarity", 3)
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of cards with cosine 0.85 or more of which one is among the other's 8 nearest."""
+    return knn.similar_pairs(knn.nearest(table(spark, root, "semantic_embeddings"), "ids", "vectors", 96, 8, least=0.85))
+
+
+def p4_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    """The 8 nearest cards of every card whose number is divisible by 100, among all cards."""
+    asked = F.regexp_extract("ids", r"(\d+)$", 1).try_cast("long") % 100 == 0
+    return knn.nearest(table(spark, root, "semantic_embeddings"), "ids", "vectors", 96, 8, probes=8, asked=F.coalesce(asked, F.lit(False)))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """The record whose title or description survives for every incident with two or more records."""
     best = truth.discover(truth.incident_claims(table(spark, root, "source_records"), STORY_FIELDS), TRUST, complete_first=True)
@@ -78,7 +89,7 @@ def p10_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split_long(table(spark, root, "documents"), "doc_id", "text", 512, 64)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p5_found, p5_votes, p7_found, p7_forms, p8_ids, p9_containers, p9_fill, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p4_found, p4_neighbours, p5_found, p5_votes, p7_found, p7_forms, p8_ids, p9_containers, p9_fill, p10_pieces)}
 
 _P1 = """
 WITH held AS (SELECT DISTINCT taxonomy_snapshot AS s, case_id, l4_id FROM case_verification_table WHERE l4_id IS NOT NULL AND case_id IS NOT NULL),
@@ -101,6 +112,12 @@ WITH best AS (SELECT case_id, l4_id, max(cosine_similarity) AS s FROM case_verif
   WHERE case_id IS NOT NULL AND l4_id IS NOT NULL AND cosine_similarity IS NOT NULL AND NOT isnan(cosine_similarity) GROUP BY case_id, l4_id),
 r AS (SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY s DESC, l4_id) AS INTEGER) AS top_rank, l4_id FROM best)
 SELECT case_id, top_rank, l4_id FROM r WHERE top_rank <= 3""",
+    "p4_found": """
+WITH v AS (SELECT ids, list_transform(max(vectors), lambda x: CAST(x AS DOUBLE)) AS v FROM semantic_embeddings
+  WHERE len(vectors) = 96 AND len(list_filter(vectors, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vectors, lambda x: x <> 0)) > 0 GROUP BY ids),
+s AS (SELECT a.ids AS a, b.ids AS b, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM v a JOIN v b ON a.ids <> b.ids),
+r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE k <= 8 AND c >= 0.85""",
     "p5_found": """
 WITH last AS (SELECT record_uid, max_by({'c': canonical_aiid_id, 's': source, 't': incident_title, 'd': risk_description}, source_snapshot) AS r FROM source_records GROUP BY record_uid),
 named AS (SELECT DISTINCT record_uid, r.s AS source, r.t AS t, r.d AS d, CAST(u.n AS BIGINT) AS canonical_id
