@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxoflow.llm import cooccurrence as co
-from taxoflow.llm import bpe, knn, lookalike, packing, splitting, topn, truth
+from taxoflow.llm import bpe, knn, lookalike, neardup, packing, splitting, topn, truth
 from taxoflow.sources import table
 
 CARD_FIELDS = ["evidence_quote", "risk_definition_ko", "l4_name_en"]
@@ -29,6 +29,16 @@ def p1_pairs(spark: SparkSession, root: str) -> DataFrame:
     return pairs.withColumns({"lift": F.round("lift", 6), "pmi": F.round("pmi", 6)})
 
 
+def p2_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Records that tell one story in slightly different words: group and number of matches of each."""
+    return neardup.near_duplicates(table(spark, root, "source_records"), "record_uid", "source_snapshot", ["incident_title", "risk_description", "ai_system"], 0.70)
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """All pairs of records in one group of near-duplicates."""
+    return neardup.pairs_within(p2_groups(spark, root), "record_uid")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """The three best cards of every case."""
     return topn.top_n_per_group(table(spark, root, "case_verification_table"), "case_id", "l4_id", "cosine_similarity", 3)
@@ -89,7 +99,7 @@ def p10_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split_long(table(spark, root, "documents"), "doc_id", "text", 512, 64)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p4_found, p4_neighbours, p5_found, p5_votes, p7_found, p7_forms, p8_ids, p9_containers, p9_fill, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_groups, p3_found, p4_found, p4_neighbours, p5_found, p5_votes, p7_found, p7_forms, p8_ids, p9_containers, p9_fill, p10_pieces)}
 
 _P1 = """
 WITH held AS (SELECT DISTINCT taxonomy_snapshot AS s, case_id, l4_id FROM case_verification_table WHERE l4_id IS NOT NULL AND case_id IS NOT NULL),
