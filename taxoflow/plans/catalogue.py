@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxoflow.plans import general
+from taxoflow.plans import general, records
 
-MODULES = [general]
+MODULES = [general, records]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
