@@ -37,7 +37,7 @@ def marks(enc: Encoder, text: str) -> tuple[bytes, np.ndarray]:
     out[(following & 0xC0) == 0x80] = INSIDE
     if len(out):
         out[-1] = PARAGRAPH
-    return out.tobytes(), np.cumsum((data & 0xC0) != 0x80)[ends - 1]
+    return out.tobytes(), np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)[ends - 1]
 
 
 def _pattern(most: int) -> str:
@@ -73,7 +73,8 @@ def split_long(df: DataFrame, key: str, text: str, limit: int = 512, overlap: in
             chars.append(found[1] if long_ else None)
         return pa.StructArray.from_arrays([pa.array(codes, pa.string()), pa.array(chars, pa.list_(pa.int32()))], names=["marks", "chars"])
 
-    marked = F.arrow_udf(scan, "struct<marks: string, chars: array<int>>")
+    # Not deterministic, so that the filter on its result doesn't have it computed a second time.
+    marked = F.arrow_udf(scan, "struct<marks: string, chars: array<int>>").asNondeterministic()
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("m", marked("t")).where("m.marks IS NOT NULL")
     rows = rows.select("k", "t", F.col("m.marks").alias("marks"), F.col("m.chars").alias("chars"))
     rows = rows.withColumn("head", F.regexp_extract("marks", f"\\A(?:{_pattern(limit)})", 0))
