@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxoflow.plans import general, records
+from taxoflow.plans import general, networks, rankings, records, statistics
 
-MODULES = [general, records]
+MODULES = [general, records, networks, rankings, statistics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
