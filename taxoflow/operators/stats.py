@@ -22,7 +22,7 @@ def hash_index(seed: int, n: Column, *parts: Column) -> Column:
 
 def replicated(df: DataFrame, reps: int, name: str = "rep") -> DataFrame:
     """Each row once per repetition, numbered from 1."""
-    return df.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    return df.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(reps).cast("long"))))
 
 
 def shuffled(df: DataFrame, id_: str, label: str, stratum: list[str], reps: int, seed: int) -> DataFrame:

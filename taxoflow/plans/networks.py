@@ -154,7 +154,7 @@ def weighted_graph_union(spark: SparkSession, root: str) -> DataFrame:
 n AS (SELECT y, count(DISTINCT o) AS n FROM h GROUP BY y)
 SELECT a.y AS year, a.i AS src, b.i AS dst, count(*) AS together, round(count(*) * 1000.0 / any_value(n.n), 6) AS per_1000 FROM h a JOIN h b ON a.o = b.o AND a.i < b.i JOIN n ON n.y = a.y GROUP BY 1, 2, 3""")
 def annual_slice_networks(spark: SparkSession, root: str) -> DataFrame:
-    years = table(spark, root, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("year"))
+    years = table(spark, root, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").cast("long").alias("year"))
     h = held(spark, root).join(years, "l_orderkey").distinct()
     n = h.groupBy("year").agg(F.count_distinct("l_orderkey").alias("n"))
     pairs = h.select("year", "l_orderkey", F.col("p_brand").alias("src")).join(h.select("l_orderkey", F.col("p_brand").alias("dst")), "l_orderkey").where("src < dst")

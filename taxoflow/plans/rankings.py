@@ -35,7 +35,7 @@ def competition_rank_desc(spark: SparkSession, root: str) -> DataFrame:
 SELECT bin, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high FROM (SELECT value, greatest(len(list_filter(edges, lambda e: e < value)) - 1, 0) AS bin FROM events, q) GROUP BY bin""")
 def quantile_bins_qcut(spark: SparkSession, root: str) -> DataFrame:
     rows = stats.quantile_bins(table(spark, root, "events"), "value", 10)
-    return rows.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"))
+    return rows.groupBy(F.col("bin").cast("long").alias("bin")).agg(F.count("*").alias("n"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"))
 
 
 @R.query("SELECT event_id, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS code FROM events")

@@ -196,7 +196,7 @@ def referential_integrity_report(spark: SparkSession, root: str) -> DataFrame:
 
 @R.query(f"SELECT source, lang, md5({_longest_sql('text')}) AS digest, max(length({filled_sql('text')})) AS n FROM documents GROUP BY source, lang")
 def longest_text_per_group(spark: SparkSession, root: str) -> DataFrame:
-    groups = table(spark, root, "documents").groupBy("source", "lang").agg(reconcile.longest(F.col("text")).alias("t"), F.max(F.length(tx.filled(F.col("text")))).alias("n"))
+    groups = table(spark, root, "documents").groupBy("source", "lang").agg(reconcile.longest(F.col("text")).alias("t"), F.max(F.length(tx.filled(F.col("text")))).cast("long").alias("n"))
     return groups.select("source", "lang", F.md5(F.col("t").cast("binary")).alias("digest"), "n")
 
 
@@ -226,7 +226,7 @@ def wide_measures_unpivot(spark: SparkSession, root: str) -> DataFrame:
 
 @R.query("""SELECT record_uid, source_snapshot, CASE WHEN lower(trim(coalesce(canonical_aiid_id, ''))) IN ('', 'nan', 'none') THEN 0 WHEN starts_with(trim(canonical_aiid_id), '[') THEN len(regexp_extract_all(canonical_aiid_id, '[0-9]+')) ELSE 1 END AS n FROM source_records""")
 def tolerant_list_parse(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "source_records").select("record_uid", "source_snapshot", F.size(tx.list_of(F.col("canonical_aiid_id"))).alias("n"))
+    return table(spark, root, "source_records").select("record_uid", "source_snapshot", F.size(tx.list_of(F.col("canonical_aiid_id"))).cast("long").alias("n"))
 
 
 @R.query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type")
@@ -343,7 +343,7 @@ def prefix_counts(spark: SparkSession, root: str) -> DataFrame:
 @R.query("SELECT l4_id, len(list_filter(string_split_regex(trim(evidence_quote), ' +'), lambda x: x <> '')) AS words FROM heart_l4_risk_cards WHERE evidence_quote IS NOT NULL")
 def quote_word_counts(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "heart_l4_risk_cards").where("evidence_quote IS NOT NULL")
-    return rows.select("l4_id", F.size(F.filter(F.split(F.trim("evidence_quote"), " +"), lambda x: x != "")).alias("words"))
+    return rows.select("l4_id", F.size(F.filter(F.split(F.trim("evidence_quote"), " +"), lambda x: x != "")).cast("long").alias("words"))
 
 
 @R.query("""SELECT l4_id, 'HV-' || lpad(CAST(row_number() OVER (ORDER BY l1_id, l3_id, l4_id) AS VARCHAR), 6, '0') AS sequence_id FROM heart_l4_risk_cards""")
