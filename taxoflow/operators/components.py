@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     of rounds leaves stars around the components' smallest nodes. Lineage is cut once a round. Loops give a
     component of one node; edges with a null end are left out; an empty table gives an empty result.
     """
-    named = edges.select(F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst")).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    named = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst"))
     loops = named.where("src = dst").select(F.col("src").alias("node")).distinct()
     stars, before = checkpointed(named.where("src <> dst").distinct()), None
     for _ in range(max_rounds):
