@@ -15,14 +15,14 @@ ARMENIAN = "ՕO ՏS հh յj ոn սu օo"
 LATIN_FORMS = "ɡg ɑa"
 PROTOTYPES = {pair[0]: pair[1] for pair in f"{GREEK} {CYRILLIC} {ARMENIAN} {LATIN_FORMS}".split()}
 #: Hyphens of one length; en and em dashes, the minus and the figure dash are longer and stay.
-HYPHENS = "‐‑﹣"
+HYPHENS = "\u2010\u2011\ufe63"
 #: Characters without ink or width that are neither format characters nor variation selectors.
-FILLERS = "͏ᅟᅠ឴឵᠋᠌᠍᠏"
+FILLERS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f"
 
 
 def _prototype(ch: str) -> str:
     """What stands for one decomposed character: nothing, a blank, a hyphen, a look-alike or itself."""
-    if unicodedata.category(ch) == "Cf" or ch in FILLERS or "︀" <= ch <= "️" or "\U000e0100" <= ch <= "\U000e01ef":
+    if unicodedata.category(ch) == "Cf" or ch in FILLERS or "\ufe00" <= ch <= "\ufe0f" or "\U000e0100" <= ch <= "\U000e01ef":
         return ""
     if ch.isspace():
         return " "
@@ -30,7 +30,7 @@ def _prototype(ch: str) -> str:
         return "-"
     kind, *parts = unicodedata.decomposition(ch).split() or [""]
     width = kind in ("<wide>", "<narrow>")
-    joined = kind == "<compat>" and ("ﬀ" <= ch <= "ﬗ" or "ㄱ" <= ch <= "ㆎ")
+    joined = kind == "<compat>" and ("\ufb00" <= ch <= "\ufb17" or "\u3131" <= ch <= "\u318e")
     if width or joined:
         return "".join(_prototype(chr(int(p, 16))) for p in parts)
     return PROTOTYPES.get(ch, ch)

@@ -18,19 +18,26 @@ def _prune(x: np.ndarray, near: np.ndarray, cand: np.ndarray, degree: int, alpha
     ``cand`` has candidate nodes per row, -1 for none, ``near`` their similarity to the row's node. Taken
     from the nearest on, a candidate removes those that are closer to it, by the factor alpha, than to the node.
     """
-    order = np.argsort(-near, axis=1, kind="stable")
+    by_id = np.argsort(cand, axis=1, kind="stable")
+    cand, near = np.take_along_axis(cand, by_id, 1), np.take_along_axis(near, by_id, 1)
+    cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
+    near = np.where(cand < 0, -9, near)
+    # Equal points come in a shuffled order, or all nodes would choose the same few of them.
+    mixed = near - SAME * (2 - 2 * near < SAME) * np.random.default_rng(cand.shape[1]).random(near.shape)
+    order = np.argsort(-mixed, axis=1, kind="stable")
     cand, far = np.take_along_axis(cand, order, 1), 2 - 2 * np.take_along_axis(near, order, 1)
     alive = cand >= 0
-    alive[:, 1:] &= cand[:, 1:] != cand[:, :-1]
     points = x[cand]
     between = 2 - 2 * (points @ points.transpose(0, 2, 1))
     taken = np.zeros(cand.shape, dtype=bool)
-    count = np.zeros(len(cand), dtype=np.int64)
+    count, twins = np.zeros((2, len(cand)), dtype=np.int64)
     for j in range(cand.shape[1]):
-        pick = alive[:, j] & (count < degree)
+        twin = far[:, j] < SAME
+        pick = alive[:, j] & (count < degree) & ~(twin & (twins >= max(1, degree // 2)))
         if pick.any():
             taken[:, j] = pick
             count += pick
+            twins += pick & twin
             alive &= ~(pick[:, None] & (alpha * between[:, j] < far - SAME))
     out = np.full((len(cand), degree), -1, dtype=np.int32)
     rows, columns = np.nonzero(taken)
