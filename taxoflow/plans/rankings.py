@@ -19,10 +19,10 @@ def topn_per_domain(spark: SparkSession, root: str) -> DataFrame:
     return counts.withColumn("place", place).where("place <= 3")
 
 
-@R.query("""SELECT l1_id, l4_id FROM (SELECT l1_id, l4_id, row_number() OVER (PARTITION BY l1_id, l2_id ORDER BY length(risk_definition_en) DESC NULLS LAST, l4_id) AS r FROM heart_l4_risk_cards) WHERE r <= CASE l1_id WHEN 'G' THEN 1 WHEN 'A' THEN 2 ELSE 4 END""")
+@R.query("""SELECT l1_id, l4_id FROM (SELECT l1_id, l4_id, row_number() OVER (PARTITION BY l1_id, l2_id ORDER BY length(risk_definition_en) DESC NULLS LAST, l4_id) AS r FROM heart_l4_risk_cards) WHERE r <= CASE l1_id WHEN 'L1_G' THEN 1 WHEN 'L1_A' THEN 2 ELSE 4 END""")
 def label_quota(spark: SparkSession, root: str) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("l1_id", "l2_id").orderBy(F.length("risk_definition_en").desc_nulls_last(), "l4_id"))
-    quota = F.when(F.col("l1_id") == "G", 1).when(F.col("l1_id") == "A", 2).otherwise(4)
+    quota = F.when(F.col("l1_id") == "L1_G", 1).when(F.col("l1_id") == "L1_A", 2).otherwise(4)
     return table(spark, root, "heart_l4_risk_cards").withColumn("r", r).where(F.col("r") <= quota).select("l1_id", "l4_id")
 
 

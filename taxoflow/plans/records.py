@@ -273,16 +273,16 @@ def ellipsis_truncation(spark: SparkSession, root: str) -> DataFrame:
 
 
 RULES = [
-    rules.Rule("physical", domain="P"),
+    rules.Rule("physical", domain="L1_P"),
     rules.Rule("data", prefixes=["P_DAT", "G_DAT", "A_DAT"]),
-    rules.Rule("robots", gate=["P", "A"], terms=["robot", "truck"], patterns=["drones?\\b"]),
+    rules.Rule("robots", gate=["L1_P", "L1_A"], terms=["robot", "truck"], patterns=["drones?\\b"]),
     rules.Rule("leaks", terms=["leakage"], exclude=["P_DAT_ZOFIFI_0004628"]),
     rules.Rule("nothing"),
 ]
 _TEXT = "lower(concat_ws(' ', l4_name_en, risk_definition_en))"
-_RULES_SQL = f"""SELECT 'physical' AS rule, l4_id FROM heart_l4_risk_cards WHERE l1_id = 'P'
+_RULES_SQL = f"""SELECT 'physical' AS rule, l4_id FROM heart_l4_risk_cards WHERE l1_id = 'L1_P'
 UNION ALL SELECT 'data', l4_id FROM heart_l4_risk_cards WHERE starts_with(l4_id, 'P_DAT_') OR starts_with(l4_id, 'G_DAT_') OR starts_with(l4_id, 'A_DAT_')
-UNION ALL SELECT 'robots', l4_id FROM heart_l4_risk_cards WHERE l1_id IN ('P', 'A') AND (contains({_TEXT}, 'robot') OR contains({_TEXT}, 'truck') OR regexp_matches({_TEXT}, 'drones?\\b'))
+UNION ALL SELECT 'robots', l4_id FROM heart_l4_risk_cards WHERE l1_id IN ('L1_P', 'L1_A') AND (contains({_TEXT}, 'robot') OR contains({_TEXT}, 'truck') OR regexp_matches({_TEXT}, 'drones?\\b'))
 UNION ALL SELECT 'leaks', l4_id FROM heart_l4_risk_cards WHERE contains({_TEXT}, 'leakage') AND l4_id <> 'P_DAT_ZOFIFI_0004628'"""
 
 
@@ -305,10 +305,10 @@ def lens_unknown_is_empty(spark: SparkSession, root: str) -> DataFrame:
     return rules.within_lenses(table(spark, root, "heart_l4_risk_cards").select("l4_id"), "l4_id", _members(spark, root), ["robots", "no such lens"])
 
 
-@R.query("""SELECT l4_id, l4_name_en FROM heart_l4_risk_cards WHERE l1_id = 'G' AND contains(lower(concat_ws(' ', l4_id, l4_name_en, l4_name_ko, risk_definition_en, risk_definition_ko, l3_name_en, facet, act_type)), 'agent') ORDER BY l4_id LIMIT 48 OFFSET 0""")
+@R.query("""SELECT l4_id, l4_name_en FROM heart_l4_risk_cards WHERE l1_id = 'L1_G' AND contains(lower(concat_ws(' ', l4_id, l4_name_en, l4_name_ko, risk_definition_en, risk_definition_ko, l3_name_en, facet, act_type)), 'agent') ORDER BY l4_id LIMIT 48 OFFSET 0""")
 def faceted_search(spark: SparkSession, root: str) -> DataFrame:
     fields = ["l4_id", "l4_name_en", "l4_name_ko", "risk_definition_en", "risk_definition_ko", "l3_name_en", "facet", "act_type"]
-    return rules.faceted(table(spark, root, "heart_l4_risk_cards"), {"l1_id": "G", "facet": None}, fields, "Agent").select("l4_id", "l4_name_en").orderBy("l4_id").limit(48)
+    return rules.faceted(table(spark, root, "heart_l4_risk_cards"), {"l1_id": "L1_G", "facet": None}, fields, "Agent").select("l4_id", "l4_name_en").orderBy("l4_id").limit(48)
 
 
 @R.query("""SELECT l4_id, l4_name_en FROM heart_l4_risk_cards ORDER BY l1_id, l3_id, l4_id LIMIT 48 OFFSET 48""")
@@ -352,9 +352,9 @@ def padded_sequence_ids(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "heart_l4_risk_cards").select("l4_id", F.concat(F.lit("HV-"), F.lpad(at.cast("string"), 6, "0")).alias("sequence_id"))
 
 
-@R.query("""WITH m AS (SELECT * FROM (VALUES ('P', 'Physical'), ('A', 'Agentic')) AS t(k, v)) SELECT l4_id, coalesce(m.v, 'General') AS domain_name FROM heart_l4_risk_cards LEFT JOIN m ON l1_id = m.k""")
+@R.query("""WITH m AS (SELECT * FROM (VALUES ('L1_P', 'Physical'), ('L1_A', 'Agentic')) AS t(k, v)) SELECT l4_id, coalesce(m.v, 'General') AS domain_name FROM heart_l4_risk_cards LEFT JOIN m ON l1_id = m.k""")
 def value_map_with_default(spark: SparkSession, root: str) -> DataFrame:
-    named = F.create_map(F.lit("P"), F.lit("Physical"), F.lit("A"), F.lit("Agentic"))
+    named = F.create_map(F.lit("L1_P"), F.lit("Physical"), F.lit("L1_A"), F.lit("Agentic"))
     return table(spark, root, "heart_l4_risk_cards").select("l4_id", F.coalesce(F.try_element_at(named, F.coalesce("l1_id", F.lit(""))), F.lit("General")).alias("domain_name"))
 
 
