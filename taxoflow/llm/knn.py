@@ -61,7 +61,10 @@ def _search(size: int, k: int, least: float, beam: int):
     """Over rows sorted by shard and kind: build the shard's graph, then stream its queries through it."""
 
     def answer(graph: Graph, exact: np.ndarray, ids: np.ndarray, names: np.ndarray, x: np.ndarray) -> pa.RecordBatch | None:
-        found, near = graph.search(x.astype(np.float32), min(max(beam, 2 * k), max(len(ids), 1)))
+        # A query that the shard holds sets out from its own node as well.
+        at = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
+        entry = np.where(ids[at] == names, at, -1)
+        found, near = graph.search(x.astype(np.float32), min(max(beam, 2 * k), max(len(ids), 1)), entry)
         held = (found >= 0) & (near >= least - 1e-4)
         q, j = np.nonzero(held)
         nodes = found[q, j]
@@ -97,7 +100,9 @@ def _search(size: int, k: int, least: float, beam: int):
                 if graph is None:
                     if not ids:
                         continue
-                    exact, known = np.concatenate(vectors), np.concatenate(ids)
+                    known = np.concatenate(ids)
+                    order = np.argsort(known)
+                    exact, known = np.concatenate(vectors)[order], known[order]
                     graph, vectors = Graph(exact), []
                 for at in range(0, len(names), TOGETHER):
                     out = answer(graph, exact, known, names[at : at + TOGETHER], x[at : at + TOGETHER])
@@ -107,7 +112,7 @@ def _search(size: int, k: int, least: float, beam: int):
     return run
 
 
-def nearest(df: DataFrame, id_: str, vector: str, size: int, k: int, least: float = -1.0, probes: int = 5, beam: int = SEARCH_BEAM, asked: Column | None = None) -> DataFrame:
+def nearest(df: DataFrame, id_: str, vector: str, size: int, k: int, least: float = -1.0, probes: int = 8, beam: int = SEARCH_BEAM, asked: Column | None = None) -> DataFrame:
     """(``id``, ``neighbour``, ``cosine``, ``place``): the ``k`` most similar other ids of every id asked for.
 
     Order is by cosine, rounded to 6 decimals, descending, then id ascending; ``least`` leaves out less

@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 #: Out-degree, width of the beam while building and searching, relaxation of the pruning.
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 28, 48, 48, 1.2
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 28, 48, 64, 1.2
+#: Edges of a node kept for nodes that nothing else leads to.
+SPARE = 4
 #: Squared distances that rounding may give to equal directions; such candidates are never pruned.
 SAME = 1e-5
 #: Nodes that each query expands in one step, and queries handled together.
@@ -76,6 +78,45 @@ class Graph:
             cand = np.where(near == -9, -1, cand)
             self.edges[nodes] = _prune(self.x, near, cand, degree, alpha)
             self._back(nodes, degree, alpha)
+        self._connect()
+
+    def _connect(self) -> None:
+        """Edges to nodes that pruning has left out of reach of the start: from their nearest reachable node.
+
+        Each node takes ``SPARE`` such edges; where all are taken, they come from the start, in further columns.
+        """
+        n = len(self.x)
+        self.edges = np.concatenate([self.edges, np.full((n, SPARE), -1, dtype=np.int32)], axis=1)
+        free = np.full(n, self.edges.shape[1] - SPARE)
+        while True:
+            reached = np.zeros(n, dtype=bool)
+            front = np.array([self.start])
+            while len(front):
+                reached[front] = True
+                nxt = np.unique(self.edges[front])
+                front = nxt[(nxt >= 0)]
+                front = front[~reached[front]]
+            lost = np.flatnonzero(~reached)
+            if not len(lost):
+                return
+            out = self.edges[lost]
+            near = np.where((out >= 0) & reached[out], np.einsum("bd,bmd->bm", self.x[lost], self.x[out]), -9)
+            best = near.argmax(axis=1)
+            able = near[np.arange(len(lost)), best] > -9
+            if not able.any():
+                # None of them has a reachable neighbour: one hangs on the start, the others follow through it.
+                if free[self.start] == self.edges.shape[1]:
+                    self.edges = np.concatenate([self.edges, np.full((n, SPARE), -1, dtype=np.int32)], axis=1)
+                self.edges[self.start, free[self.start]] = lost[0]
+                free[self.start] += 1
+                continue
+            width = self.edges.shape[1]
+            for u, v in zip(lost[able], out[np.arange(len(lost)), best][able]):
+                if free[v] < width:
+                    self.edges[v, free[v]] = u
+                    free[v] += 1
+                else:
+                    self.edges[u, :] = np.where(self.edges[u] == v, -1, self.edges[u])
 
     def _back(self, nodes: np.ndarray, degree: int, alpha: float) -> None:
         """Edges back from the targets of the nodes' new edges; nodes with too many are pruned again."""
@@ -97,8 +138,11 @@ class Graph:
             near[cand < 0] = -9
             self.edges[own] = _prune(self.x, near, cand, degree, alpha)
 
-    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``beam`` most similar nodes that a greedy search meets, with similarities, best first; -1 for none."""
+    def search(self, queries: np.ndarray, beam: int, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``beam`` most similar nodes that a greedy search meets, with similarities, best first; -1 for none.
+
+        The search sets out from the graph's start and, where ``entry`` has a node of a query, from that too.
+        """
         b, n = len(queries), len(self.x)
         queries = np.ascontiguousarray(queries, dtype=np.float32)
         pool = np.full((b, beam), -1, dtype=np.int32)
@@ -108,6 +152,10 @@ class Graph:
         pool[:, 0], near[:, 0], done[:, 0] = self.start, queries @ self.x[self.start], False
         seen[:, self.start] = True
         rows = np.arange(b)
+        if entry is not None and beam > 1:
+            own = np.flatnonzero((entry >= 0) & (entry != self.start))
+            pool[own, 1], done[own, 1], seen[own, entry[own]] = entry[own], False, True
+            near[own, 1] = np.einsum("md,md->m", queries[own], self.x[entry[own]])
         while len(rows):
             open_ = np.where(done[rows], -9, near[rows])
             best = np.argpartition(-open_, EXPAND - 1, axis=1)[:, :EXPAND] if beam > EXPAND else np.broadcast_to(np.arange(beam), (len(rows), beam))
