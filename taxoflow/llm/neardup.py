@@ -17,8 +17,6 @@ from taxoflow.session import checkpointed
 GROUPS, TOP = 128, 3
 #: Frequencies are counted in so many hashed buckets, whatever the vocabulary.
 BUCKETS = 1 << 18
-#: Blocks of a record: its rarest words, of which the first always count, the others up to a frequency.
-ALWAYS, WORDS, FREQUENT = 4, 8, 2000
 #: Records of one block in one task; larger blocks become pairs of parts.
 PART = 4000
 #: Rows that a worker joins together, at block boundaries; classes of a component that are compared together.
@@ -63,8 +61,13 @@ def frequencies(words: DataFrame) -> np.ndarray:
     return out
 
 
-def _digest(df: DataFrame, frequency: np.ndarray):
-    """Per row the class of equal word sets, the packed count vector and the blocks it goes to."""
+def _digest(df: DataFrame, frequency: np.ndarray, threshold: float):
+    """Per row the class of equal word sets, the packed count vector, the blocks it goes to and its reach in each.
+
+    Two sets of sizes m and n match only if they share t / (1 + t) of m + n words, which is at least t of n. So
+    their first shared word, from the rarest on, is among the n - ceil(t n) + 1 first of either; with it at place
+    p, n - p words can be shared at most, which bounds the other's size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,13 +81,12 @@ def _digest(df: DataFrame, frequency: np.ndarray):
             capped = np.minimum(counts, TOP).astype(np.uint8).reshape(n, GROUPS // 4, 4)
             packed = (capped << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
             often = frequency[w & (BUCKETS - 1)]
-            shared = np.flatnonzero(often > 1)
-            order = shared[np.lexsort((w[shared], often[shared], row[shared]))]
-            r = row[order]
-            start = np.searchsorted(r, r, side="left")
-            place = np.arange(len(order)) - start
-            chosen = (place < ALWAYS) | ((place < WORDS) & (often[order] <= FREQUENT))
-            order, r = order[chosen], r[chosen]
+            order = np.lexsort((w, often, row))
+            place = np.arange(len(w)) - np.repeat(ends - size, size)
+            # A word of frequency 1 has a place, but no other record in its block.
+            chosen = (place <= (size - np.ceil(threshold * size - 1e-9))[row]) & (often[order] > 1)
+            order, r, place = order[chosen], row[chosen], place[chosen]
+            reach = np.floor((size[r] - place) * (1 + threshold) / threshold - size[r] + 1e-9).astype(np.int32)
             parts = -(-often[order] // PART)
             mine = (_mixed(c[r] ^ w[order]) % parts.astype(np.uint64)).astype(np.int64)
             again = np.repeat(np.arange(len(order)), parts)
@@ -94,22 +96,23 @@ def _digest(df: DataFrame, frequency: np.ndarray):
             block = (key & ~np.uint64(1)) | ((mine[again] == high) & (low != high)).astype(np.uint64)
             ends = np.concatenate([[0], np.cumsum(np.bincount(r[again], minlength=n))]).astype(np.int32)
             blocks = pa.ListArray.from_arrays(pa.array(ends), pa.array(block.view(np.int64)))
+            reaches = pa.ListArray.from_arrays(pa.array(ends), pa.array(reach[again]))
             vector = pa.array([p.tobytes() for p in packed], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), batch.column("t"), pa.array(c), pa.array(size.astype(np.int32)), vector, blocks], names=["id", "version", "t", "c", "n", "vector", "blocks"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), batch.column("t"), pa.array(c), pa.array(size.astype(np.int32)), vector, blocks, reaches], names=["id", "version", "t", "c", "n", "vector", "blocks", "reaches"])
 
     id_, version = (df.schema[x].dataType.simpleString() for x in ("id", "version"))
-    return df.mapInArrow(run, f"id {id_}, version {version}, t long, c long, n int, vector binary, blocks array<long>")
+    return df.mapInArrow(run, f"id {id_}, version {version}, t long, c long, n int, vector binary, blocks array<long>, reaches array<int>")
 
 
 def _join(threshold: float):
     """Candidate pairs of classes from rows sorted by block, joined at block boundaries."""
 
-    def joined(block: np.ndarray, c: np.ndarray, n: np.ndarray, packed: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def joined(block: np.ndarray, reach: np.ndarray, c: np.ndarray, n: np.ndarray, packed: np.ndarray) -> Iterator[pa.RecordBatch]:
         side, whole = block & 1, block >> 1
         order = np.lexsort((n, side, whole))
-        whole, side, c, n, packed = whole[order], side[order], c[order], n[order].astype(np.int64), packed[order]
+        whole, side, reach, c, n, packed = whole[order], side[order], reach[order], c[order], n[order].astype(np.int64), packed[order]
         counts = ((packed[:, :, None] >> np.array([0, 2, 4, 6], dtype=np.uint8)) & 3).reshape(len(n), GROUPS)
-        for a, b in similar(whole, side, counts, n - counts.sum(axis=1), n, threshold):
+        for a, b in similar(whole, side, counts, n - counts.sum(axis=1), n, threshold, reach):
             fine = c[a] != c[b]
             pairs = np.unique(np.stack([np.minimum(c[a], c[b])[fine], np.maximum(c[a], c[b])[fine]]), axis=1)
             if pairs.size:
@@ -121,13 +124,13 @@ def _join(threshold: float):
             if not batch.num_rows:
                 continue
             packed = np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, GROUPS // 4)
-            held.append((batch.column("block").to_numpy(), batch.column("c").to_numpy(), batch.column("n").to_numpy(), packed))
+            held.append((batch.column("block").to_numpy(), batch.column("reach").to_numpy(), batch.column("c").to_numpy(), batch.column("n").to_numpy(), packed))
             if sum(len(h[0]) for h in held) >= ROWS:
-                block, c, n, packed = (np.concatenate(x) for x in zip(*held))
+                block, reach, c, n, packed = (np.concatenate(x) for x in zip(*held))
                 cut = int(np.searchsorted(block >> 1, block[-1] >> 1, side="left"))
                 if cut:
-                    yield from joined(block[:cut], c[:cut], n[:cut], packed[:cut])
-                held = [(block[cut:], c[cut:], n[cut:], packed[cut:])]
+                    yield from joined(block[:cut], reach[:cut], c[:cut], n[:cut], packed[:cut])
+                held = [(block[cut:], reach[cut:], c[cut:], n[cut:], packed[cut:])]
         if held:
             yield from joined(*(np.concatenate(x) for x in zip(*held)))
 
@@ -186,22 +189,21 @@ def near_duplicates(df: DataFrame, key: str, version: str, columns: list[str], t
     empty, null keys are left out; records written twice count once, and of different rows of one version one
     is taken by its words; texts are read whole; other columns are not read.
 
-    Records of equal words are one class. A class goes to the blocks of its rarest words, found by frequencies
-    counted over all records. In each block the classes' count vectors (words hashed into groups) form a
+    Records of equal words are one class. A class goes to the blocks of its rarest words, in one order by
+    frequencies counted over all records, and of so many that every two that match share one. In each block the classes' count vectors (words hashed into groups) form a
     packed R-tree; pairs of nodes whose summed coordinate minima cannot reach the threshold are left out, the
     rest come down to pairs of classes. These are joined into components, in which all classes are compared
     word for word; components of more than ``TOGETHER`` classes compare the found pairs only, in a join.
-    Blocks of more than ``PART`` records are joined part by part. A match of two records that share none of
-    their rarest words is found only through others.
+    Blocks of more than ``PART`` records are joined part by part.
     """
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(version).alias("version"), words_of(columns).alias("w"))
     rows = rows.withColumn("t", F.xxhash64("w"))
     frequency = frequencies(rows.select("w"))
-    digests = _digest(rows, frequency)
-    latest = digests.groupBy("id").agg(F.max_by(F.struct("c", "n", "vector", "blocks"), F.struct("version", "t", "c")).alias("r"))
+    digests = _digest(rows, frequency, threshold)
+    latest = digests.groupBy("id").agg(F.max_by(F.struct("c", "n", "vector", "blocks", "reaches"), F.struct("version", "t", "c")).alias("r"))
     records = checkpointed(latest.select("id", "r.*").where("n > 0"))
-    classes = records.groupBy("c").agg(F.any_value("n").alias("n"), F.any_value("vector").alias("vector"), F.any_value("blocks").alias("blocks"), F.min("id").alias("id"), F.count("*").alias("copies"))
-    members = classes.select(F.explode("blocks").alias("block"), "c", "n", "vector")
+    classes = records.groupBy("c").agg(F.any_value("n").alias("n"), F.any_value("vector").alias("vector"), F.any_value("blocks").alias("blocks"), F.any_value("reaches").alias("reaches"), F.min("id").alias("id"), F.count("*").alias("copies"))
+    members = classes.select(F.explode(F.arrays_zip("blocks", "reaches")).alias("x"), "c", "n", "vector").select(F.col("x.blocks").alias("block"), F.col("x.reaches").alias("reach"), "c", "n", "vector")
     by_block = members.repartition(F.shiftright("block", 1)).sortWithinPartitions("block")
     pairs = checkpointed(by_block.mapInArrow(_join(threshold), "a long, b long").distinct())
     component = checkpointed(connected_components(pairs, "a", "b"))

@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Children of a node, and pairs that are looked at together.
-FANOUT, CHUNK = 8, 400_000
+#: Children of a node, pairs that are looked at together, and the largest count that a vector surely holds uncapped.
+FANOUT, CHUNK, SURE = 8, 400_000, 2
 
 
 def _ranges(first_a: np.ndarray, n_a: np.ndarray, first_b: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -24,10 +24,10 @@ def _ranges(first_a: np.ndarray, n_a: np.ndarray, first_b: np.ndarray, n_b: np.n
 
 
 class Level:
-    """Nodes of one level: the largest count per group, the range of sizes, and where their children lie."""
+    """Nodes of one level: the largest count per group, the range of sizes, the largest partner's, and where their children lie."""
 
-    def __init__(self, high: np.ndarray, excess: np.ndarray, least: np.ndarray, most: np.ndarray, first: np.ndarray, count: np.ndarray):
-        self.high, self.excess, self.least, self.most, self.first, self.count = high, excess, least, most, first, count
+    def __init__(self, high: np.ndarray, excess: np.ndarray, least: np.ndarray, most: np.ndarray, reach: np.ndarray, first: np.ndarray, count: np.ndarray):
+        self.high, self.excess, self.least, self.most, self.reach, self.first, self.count = high, excess, least, most, reach, first, count
 
     def above(self, group: np.ndarray) -> tuple["Level", np.ndarray]:
         """The level of nodes that hold up to ``FANOUT`` neighbours of one group, and their groups."""
@@ -35,16 +35,17 @@ class Level:
         within = np.arange(len(group)) - np.repeat(start, np.diff(np.r_[start, len(group)]))
         first = np.flatnonzero(within % FANOUT == 0)
         count = np.diff(np.r_[first, len(group)])
-        level = Level(np.maximum.reduceat(self.high, first, axis=0), np.maximum.reduceat(self.excess, first), np.minimum.reduceat(self.least, first), np.maximum.reduceat(self.most, first), first, count)
+        level = Level(np.maximum.reduceat(self.high, first, axis=0), np.maximum.reduceat(self.excess, first), np.minimum.reduceat(self.least, first), np.maximum.reduceat(self.most, first), np.maximum.reduceat(self.reach, first), first, count)
         return level, group[first]
 
     def possible(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
         """Whether points below nodes a and b may be similar enough.
 
         The overlap is at most the sum of coordinate minima; at the least sizes it must reach t / (1 + t) of
-        the sizes' sum, and sizes may differ by the factor t at most.
+        the sizes' sum, and sizes may differ by the factor t at most and lie within each other's reach.
         """
         fine = (self.most[a] >= threshold * self.least[b]) & (self.most[b] >= threshold * self.least[a])
+        fine &= (self.reach[a] >= self.least[b]) & (self.reach[b] >= self.least[a])
         need = threshold / (1 + threshold) * (self.least[a] + self.least[b]) - 1e-9
         at = np.flatnonzero(fine)
         shared = np.minimum(self.high[a[at]], self.high[b[at]]).sum(axis=1, dtype=np.int32) + np.minimum(self.excess[a[at]], self.excess[b[at]])
@@ -52,13 +53,40 @@ class Level:
         return fine
 
 
-def similar(block: np.ndarray, side: np.ndarray, counts: np.ndarray, excess: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _bits(counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Words of 64 groups: which counts are odd, and which are surely uncapped."""
+    fill = -counts.shape[1] % 64
+    pack = lambda x: list(np.packbits(np.pad(x, ((0, 0), (0, fill))), axis=1).view(np.uint64).T.copy())
+    return pack((counts & 1).astype(bool)), pack(counts <= SURE)
+
+
+def _row_pairs(leaves: Level, c: np.ndarray, d: np.ndarray, size: np.ndarray, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of leaf pairs whose sizes lie within each other's reach."""
+    lanes, step = np.arange(FANOUT), max(1, CHUNK // 16)
+    size, reach = (np.pad(x, (0, FANOUT)).astype(np.int32) for x in (size, reach))
+    for at in range(0, len(c), step):
+        x, y = c[at : at + step], d[at : at + step]
+        rows_x, rows_y = leaves.first[x][:, None] + lanes, leaves.first[y][:, None] + lanes
+        reach_x = np.where(lanes < leaves.count[x][:, None], reach[rows_x], -1)
+        reach_y = np.where(lanes < leaves.count[y][:, None], reach[rows_y], -1)
+        hit = np.flatnonzero((size[rows_x][:, :, None] <= reach_y[:, None, :]) & (size[rows_y][:, None, :] <= reach_x[:, :, None]))
+        e, f = rows_x.ravel()[hit // FANOUT], rows_y.ravel()[hit // FANOUT**2 * FANOUT + hit % FANOUT]
+        keep = e < f
+        yield e[keep], f[keep]
+
+
+def similar(block: np.ndarray, side: np.ndarray, counts: np.ndarray, excess: np.ndarray, size: np.ndarray, threshold: float, reach: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs of one block whose count vectors allow a Jaccard similarity of ``threshold``.
 
     Rows are sorted by block and side. Rows of side 0 alone are joined with each other; where a block has
-    rows of side 1, too, those of side 0 are joined with those of side 1.
+    rows of side 1, too, those of side 0 are joined with those of side 1. ``reach`` is the largest size of a
+    row's partners where that is known. Sets differ in a word at least for every group that is odd in one of
+    them only; this is tested before the counts, which must be true up to ``SURE``.
     """
-    rows = Level(counts, excess, size, size, np.arange(len(size)), np.ones(len(size), dtype=np.int64))
+    widest = np.floor(size / threshold + 1e-9).astype(np.int64)
+    reach = widest if reach is None else np.minimum(reach, widest)
+    odd, sure = _bits(counts)
+    rows = Level(counts, excess, size, size, reach, np.arange(len(size)), np.ones(len(size), dtype=np.int64))
     group = np.cumsum(np.r_[0, (block[1:] != block[:-1]) | (side[1:] != side[:-1])])
     leaves, of_leaf = rows.above(group)
     nodes, of_node = leaves.above(of_leaf)
@@ -81,8 +109,9 @@ def similar(block: np.ndarray, side: np.ndarray, counts: np.ndarray, excess: np.
             c, d = c[keep], d[keep]
             keep = leaves.possible(c, d, threshold)
             c, d = c[keep], d[keep]
-            for e, f in _ranges(leaves.first[c], leaves.count[c], leaves.first[d], leaves.count[d]):
-                keep = e < f
+            for e, f in _row_pairs(leaves, c, d, size, reach):
+                apart = sum(np.bitwise_count((o[e] ^ o[f]) & u[e] & u[f]).astype(np.int32) for o, u in zip(odd, sure))
+                keep = apart <= (1 - threshold) / (1 + threshold) * (size[e] + size[f]) + 1e-9
                 e, f = e[keep], f[keep]
                 keep = rows.possible(e, f, threshold)
                 if keep.any():

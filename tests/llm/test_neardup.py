@@ -98,3 +98,21 @@ def test_tree_join_is_complete(monkeypatch, chunk):
             bound = np.minimum(counts[a], counts[b]).sum() + min(excess[a], excess[b])
             able = bound >= 0.8 / 1.8 * (size[a] + size[b]) - 1e-9 and min(size[a], size[b]) >= 0.8 * max(size[a], size[b])
             assert ((a, b) in got) == bool(joined and able)
+
+
+def held_often_rows(copies=60):
+    """A story of frequent words, and records of the same words with four rare ones more, delivered twice."""
+    story = " ".join(f"word{k}" for k in range(70))
+    rows = [(f"s{i:03d}", "1", story, f"only{i} only{i}x") for i in range(copies)]
+    rare = [(f"r{i}", "1", story, " ".join(f"rare{i}{j}" for j in range(4))) for i in range(3)]
+    return rows + rare + rare
+
+
+def test_matches_that_share_no_rare_word(spark):
+    rows = held_often_rows()
+    # Words of the story occur more than 2,000 times, by records that match nothing.
+    rows += [(f"x{i:04d}", "1", " ".join(f"word{k}" for k in range(i % 7, 70, 7)), " ".join(f"far{i % 50}{j}" for j in range(40))) for i in range(14_500)]
+    expected = brute(rows[:66], 0.7)
+    df = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], SCHEMA)
+    got = {r.uid: (r.group, r.links) for r in neardup.near_duplicates(df, "uid", "version", ["title", "body"], 0.7).collect() if r.uid[0] != "x"}
+    assert len(expected) == 63 and got == expected
