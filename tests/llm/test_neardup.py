@@ -108,7 +108,9 @@ def held_often_rows(copies=60):
     return rows + rare + rare
 
 
-def test_matches_that_share_no_rare_word(spark):
+@pytest.mark.parametrize("together", [512, 3])
+def test_matches_that_share_no_rare_word(spark, monkeypatch, together):
+    monkeypatch.setattr(neardup, "TOGETHER", together)
     rows = held_often_rows()
     # Words of the story occur more than 2,000 times, by records that match nothing.
     rows += [(f"x{i:04d}", "1", " ".join(f"word{k}" for k in range(i % 7, 70, 7)), " ".join(f"far{i % 50}{j}" for j in range(40))) for i in range(14_500)]
