@@ -14,6 +14,8 @@ from taxoflow.session import checkpointed
 
 #: Vectors of one shard's graph; vectors that the centroids are fitted on; most centroids.
 SHARD, SAMPLE, CELLS = 4096, 20_000, 1024
+#: Queries whose nearest are looked up among all vectors, and the share of those that the searched cells must hold.
+TRIED, RECALL = 256, 0.99
 
 
 def usable(vector: Column, size: int) -> Column:
@@ -28,6 +30,45 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _nearest_of(size: int, k: int, names: np.ndarray, queries: np.ndarray, centre: np.ndarray):
+    """Per partition the k nearest of every tried query, by comparison with all, and the cells that they lie in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.full((len(names), k), -9, dtype=np.float32)
+        cell = np.zeros((len(names), k), dtype=np.int32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column("v"), size).astype(np.float32)
+            home = (x @ centre.T).argmax(axis=1).astype(np.int32)
+            value = np.where(names[:, None] == batch.column("c").to_numpy()[None, :], -9, queries @ x.T)
+            near, cell = np.concatenate([near, value], axis=1), np.concatenate([cell, np.broadcast_to(home, value.shape)], axis=1)
+            keep = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            near, cell = np.take_along_axis(near, keep, 1), np.take_along_axis(cell, keep, 1)
+        q, j = np.nonzero(near > -9)
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(cell[q, j]), pa.array(near[q, j].astype(np.float64))], names=["q", "cell", "near"])
+
+    return run
+
+
+def _probes(classes: DataFrame, size: int, k: int, least: float, centre: np.ndarray, fewest: int) -> int:
+    """How many of the nearest cells must be searched to meet the share ``RECALL`` of the tried queries' nearest."""
+    if fewest >= len(centre):
+        return len(centre)
+    tried = classes.where("asked").orderBy(F.xxhash64("c", F.lit(2)), "c").limit(TRIED).select("c", "v").toArrow()
+    if not tried.num_rows:
+        return fewest
+    queries = _matrix(tried.column("v").combine_chunks(), size).astype(np.float32)
+    rows = classes.select("c", "v").mapInArrow(_nearest_of(size, k, tried.column("c").to_numpy(), queries, centre), "q int, cell int, near double")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near")))).where((F.col("n") <= k) & (F.col("near") >= least))
+    found = rows.select("q", "cell").toArrow()
+    if not found.num_rows:
+        return fewest
+    place = np.argsort(np.argsort(-(queries @ centre.T), axis=1, kind="stable"), axis=1)
+    places = np.sort(place[found.column("q").to_numpy(), found.column("cell").to_numpy()])
+    return max(fewest, int(places[int(np.ceil(RECALL * len(places))) - 1]) + 1)
+
+
 def _route(centre: np.ndarray, size: int, splits: np.ndarray, probes: int):
     """Rows for the index (kind 0, one shard) and for the search (kind 1, every shard of the nearest cells)."""
     first = np.concatenate([[0], np.cumsum(splits)])
@@ -122,7 +163,8 @@ def nearest(df: DataFrame, id_: str, vector: str, size: int, k: int, least: floa
     as neighbours, which are all that can be among the nearest k: any number of copies costs no more.
 
     Every vector is indexed in the shard of its nearest centroid and searched for in the shards of its
-    ``probes`` nearest ones. The centroids are fitted on the ``SAMPLE`` vectors of smallest hash, at most
+    ``probes`` nearest ones, or of more: so many that of the nearest of ``TRIED`` queries, which are compared
+    with all vectors, these hold the share ``RECALL``, whatever the number of cells. The centroids are fitted on the ``SAMPLE`` vectors of smallest hash, at most
     ``CELLS`` of them; a cell with more than ``SHARD`` vectors is cut by hash into several shards, all of
     which are searched. A shard holds one graph; its queries stream through it in batches.
     """
@@ -151,7 +193,8 @@ def nearest(df: DataFrame, id_: str, vector: str, size: int, k: int, least: floa
     splits = np.ones(len(centre), dtype=np.int64)
     for r in flat.mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         splits[r["cell"]] = max(1, -(-r["n"] // (2 * SHARD)))
-    routed = flat.mapInArrow(_route(centre, size, splits, min(probes, len(centre))), "shard int, kind tinyint, c long, v array<float>")
+    probes = _probes(classes, size, k, least, centre, min(probes, len(centre)))
+    routed = flat.mapInArrow(_route(centre, size, splits, probes), "shard int, kind tinyint, c long, v array<float>")
     spread = routed.repartitionById(int(splits.sum()), "shard").sortWithinPartitions("shard", "kind")
     links = spread.mapInArrow(_search(size, k, least, beam), "a long, b long, cosine double")
     # Of each class the k + 1 smallest ids; the rank is limited before the shuffle as well as after it.

@@ -50,6 +50,17 @@ def test_recall_of_neighbours(spark):
     assert hit >= 0.95 * len(rows)
 
 
+def test_recall_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD", 25)
+    rng = np.random.default_rng(9)
+    vectors = {f"v{i:05d}": rng.normal(size=24).astype(np.float32) for i in range(1500)}
+    df = spark.createDataFrame([(i, v.tolist(), i.endswith("0")) for i, v in vectors.items()], "ids string, vectors array<float>, q boolean")
+    truth = brute(vectors, 8, -1)
+    rows = knn.nearest(df, "ids", "vectors", 24, 8, asked=df.q).collect()
+    hit = sum(r.neighbour in {j for j, _ in truth[r.id]} for r in rows)
+    assert len(rows) == 150 * 8 and hit >= 0.95 * len(rows)
+
+
 def test_few_and_no_vectors(spark):
     schema = "ids string, vectors array<float>"
     assert knn.nearest(spark.createDataFrame([], schema), "ids", "vectors", 2, 8).count() == 0
