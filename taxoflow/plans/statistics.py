@@ -16,6 +16,8 @@ from taxoflow.sources import table
 
 R = Registry()
 REPS = 20
+#: Repetitions of the tail bootstrap, as in the reference; no SQL bounds them.
+TAIL_REPS = 1000
 
 
 @R.query(r"""WITH t AS (SELECT actual_harm AS t, regexp_matches(lower(concat_ws(' ', incident_title, risk_description)), 'fall|broken|bruises|dosage|ambulance') AS g FROM source_records WHERE actual_harm IS NOT NULL),
@@ -65,7 +67,7 @@ def tail_bootstrap_p(spark: SparkSession, root: str) -> DataFrame:
     best = stats.power_law(s, "strength", 50).orderBy("ks", "xmin").first()
     if best is None:
         return spark.createDataFrame([], "completed long, exceeding long, p double")
-    reps = stats.tail_bootstrap(s, "strength", best["xmin"], best["alpha"], best["ks"], 50, 40, 20261021)
+    reps = stats.tail_bootstrap(s, "strength", best["xmin"], best["alpha"], best["ks"], 50, TAIL_REPS, 20261021)
     return reps.agg(F.count("*").alias("completed"), F.count_if("exceeds").alias("exceeding"), F.avg(F.col("exceeds").cast("int")).alias("p"))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from taxoflow.operators import models, stats
+from taxoflow.plans import catalogue
 
 
 def test_logistic_against_numpy(spark):
@@ -52,3 +53,8 @@ def test_tail_bootstrap_repeats(spark):
     best = stats.power_law(x, "x", 50).orderBy("ks", "xmin").first()
     runs = [sorted(map(tuple, stats.tail_bootstrap(x, "x", best.xmin, best.alpha, best.ks, 50, 6, 1).collect())) for _ in range(2)]
     assert runs[0] == runs[1] and len(runs[0]) == 6
+
+
+def test_tail_bootstrap_runs_the_references_repetitions(spark):
+    row = catalogue.queries()["tail_bootstrap_p"](spark, "/root/testdata/sf0.001").first()
+    assert 990 <= row["completed"] <= 1000 and row["p"] == row["exceeding"] / row["completed"]
