@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "taxoflow", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -23,19 +24,38 @@ def build_session(app: str = "taxoflow", cores: int | str = "*", shuffle_partiti
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results, which all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder of this machine is taken.
+    It is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset (local tests)
+    a temporary folder of this machine is taken.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="taxoflow-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame, watched: Observation | None = None, **metrics: Column) -> DataFrame:
+    """Cut the lineage of ``df`` through a reliable checkpoint; the metrics are gathered by the same job."""
+    shared_folder(df.sparkSession)
+    return (df.observe(watched, *[m.alias(n) for n, m in metrics.items()]) if watched is not None else df).checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` through a compressed table in the shared folder, removed when the session ends.
+
+    Unlike a checkpoint it is read by column, and repeated values take little room.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parallelism(spark: SparkSession) -> int:
