@@ -80,22 +80,25 @@ def test_empty(spark):
     assert neardup.near_duplicates(df, "uid", "version", ["title", "body"], 0.7).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [3, 400_000])
-def test_tree_join_is_complete(monkeypatch, chunk):
-    monkeypatch.setattr(rtree, "CHUNK", chunk)
+@pytest.mark.parametrize("chunk, leaf, fanout", [(3, 2, 2), (1 << 16, 64, 8), (500, 8, 3)])
+def test_tree_join_is_complete(monkeypatch, chunk, leaf, fanout):
+    for name, value in (("CHUNK", chunk), ("LEAF", leaf), ("FANOUT", fanout)):
+        monkeypatch.setattr(rtree, name, value)
     rng = np.random.default_rng(1)
     n = 300
     block, side = np.sort(rng.integers(0, 4, n)), np.zeros(n, dtype=np.int64)
     side[block == 3] = np.sort(rng.integers(0, 2, (block == 3).sum()))
-    counts = rng.integers(0, 3, (n, 16)).astype(np.uint8)
+    counts = rng.integers(0, 2, (n, 64)).astype(np.int64) * rng.integers(0, 6, (n, 64)) * (rng.random((n, 64)) < 0.2)
     counts[1::3] = counts[:-1:3][: len(counts[1::3])]
-    excess = rng.integers(0, 3, n)
-    size = counts.sum(axis=1) + excess
-    got = {(int(a), int(b)) for x, y in rtree.similar(block, side, counts, excess, size, 0.8) for a, b in zip(x, y)}
+    counts[7] *= 40
+    size = counts.sum(axis=1) + 1
+    low, high = rtree.planes(counts)
+    held, excess = np.minimum(counts, rtree.TOP), size - np.minimum(counts, rtree.TOP).sum(axis=1)
+    got = {(int(a), int(b)) for x, y in rtree.similar(block, side, low, high, size, 0.8) for a, b in zip(x, y)}
     for a in range(n):
         for b in range(a + 1, n):
             joined = block[a] == block[b] and (side[a] != side[b] if block[a] == 3 else True)
-            bound = np.minimum(counts[a], counts[b]).sum() + min(excess[a], excess[b])
+            bound = np.minimum(held[a], held[b]).sum() + min(excess[a], excess[b])
             able = bound >= 0.8 / 1.8 * (size[a] + size[b]) - 1e-9 and min(size[a], size[b]) >= 0.8 * max(size[a], size[b])
             assert ((a, b) in got) == bool(joined and able)
 
@@ -118,3 +121,14 @@ def test_matches_that_share_no_rare_word(spark, monkeypatch, together):
     df = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], SCHEMA)
     got = {r.uid: (r.group, r.links) for r in neardup.near_duplicates(df, "uid", "version", ["title", "body"], 0.7).collect() if r.uid[0] != "x"}
     assert len(expected) == 63 and got == expected
+
+
+def test_many_rare_words_in_pairs(spark):
+    """Two records share 50 of 66 words, each has eight more that stand in one other record."""
+    shared = " ".join(f"word{k}" for k in range(50))
+    own = [" ".join(f"own{r}x{k}" for k in range(8)) for r in range(2)]
+    rows = [(f"a{r}", "1", shared, own[r]) for r in range(2)] + [(f"b{r}", "1", f"elsewhere{r} entirely{r} other{r}", own[r]) for r in range(2)]
+    rows += [(f"f{i:03d}", "1", " ".join(f"word{(i + 7 * k) % 50}" for k in range(5)), f"more{i} of{i} it{i}") for i in range(300)]
+    df = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], SCHEMA)
+    got = {r.uid: (r.group, r.links) for r in neardup.near_duplicates(df, "uid", "version", ["title", "body"], 0.7).collect()}
+    assert got == brute(rows, 0.7) and {"a0", "a1"} <= got.keys()
