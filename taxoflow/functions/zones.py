@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import importlib.resources
+import os
+import re
+import struct
 import zoneinfo
 from dataclasses import dataclass
-from datetime import datetime, timedelta, timezone
+from datetime import date, timedelta
 
 import numpy as np
 
-EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
-#: Years for which transitions are tabulated; wall times outside take the nearest known offset.
-FIRST_YEAR, LAST_YEAR = 1970, 2100
+#: Years that the rule at the end of a zone's data is applied to; text dates have four-figure years.
+LAST_YEAR = 9999
+_EPOCH = date(1970, 1, 1).toordinal()
 
 
 @dataclass(frozen=True)
@@ -41,34 +44,98 @@ def database_version() -> str:
         return "system"
 
 
+def _data(zone: str) -> bytes:
+    """The compiled data of a zone, from the system's folders or else the ``tzdata`` package."""
+    if not re.fullmatch(r"[A-Za-z0-9_+\-]+(/[A-Za-z0-9_+\-]+)*", zone):
+        raise zoneinfo.ZoneInfoNotFoundError(zone)
+    for folder in zoneinfo.TZPATH:
+        path = os.path.join(folder, *zone.split("/"))
+        if os.path.isfile(path):
+            with open(path, "rb") as f:
+                return f.read()
+    try:
+        return importlib.resources.files("tzdata.zoneinfo").joinpath(*zone.split("/")).read_bytes()
+    except (ModuleNotFoundError, FileNotFoundError, IsADirectoryError, NotADirectoryError) as e:
+        raise zoneinfo.ZoneInfoNotFoundError(zone) from e
+
+
+def _parsed(data: bytes) -> tuple[list[int], list[int], str]:
+    """Instants of change, the offsets before and after them, and the closing rule of compiled zone data."""
+
+    def header(at: int) -> tuple[int, list[int]]:
+        if data[at : at + 4] != b"TZif":
+            raise ValueError("no zone data")
+        return data[at + 4], list(struct.unpack(">6l", data[at + 20 : at + 44]))
+
+    version, (utc, std, leap, times, kinds, chars) = header(0)
+    at, width = 44, 4
+    if version >= 50:
+        at += times * 5 + kinds * 6 + chars + leap * 8 + std + utc
+        _, (utc, std, leap, times, kinds, chars) = header(at)
+        at, width = at + 44, 8
+    instants = list(struct.unpack(f">{times}{'q' if width == 8 else 'l'}", data[at : at + times * width]))
+    at += times * width
+    index = list(data[at : at + times])
+    at += times
+    info = [struct.unpack(">lBB", data[at + 6 * i : at + 6 * i + 6]) for i in range(kinds)]
+    at += kinds * 6 + chars + leap * (width + 4) + std + utc
+    first = next((off for off, summer, _ in info if not summer), info[0][0])
+    return instants, [first, *[info[i][0] for i in index]], data[at:].decode("ascii").strip("\n") if width == 8 else ""
+
+
+def _seconds(text: str) -> int:
+    sign, h, m, s = re.fullmatch(r"([+-]?)(\d+)(?::(\d+))?(?::(\d+))?", text).groups()
+    return (-1 if sign == "-" else 1) * (int(h) * 3600 + int(m or 0) * 60 + int(s or 0))
+
+
+def _day(rule: str, year: int) -> int:
+    """Day number, from 1970 on, that a rule names in a year: Mm.w.d, Jn (without leap days) or n (with them)."""
+    first = date(year, 1, 1).toordinal() - _EPOCH
+    if rule[0] == "M":
+        month, week, weekday = (int(x) for x in rule[1:].split("."))
+        start = date(year, month, 1)
+        ahead = (weekday - start.isoweekday()) % 7 + 7 * (week - 1)
+        while (start + timedelta(days=ahead)).month != month:
+            ahead -= 7
+        return start.toordinal() - _EPOCH + ahead
+    if rule[0] == "J":
+        leap = date(year, 12, 31).toordinal() - _EPOCH - first == 365
+        return first + int(rule[1:]) - 1 + (leap and int(rule[1:]) > 59)
+    return first + int(rule)
+
+
+def _ruled(rule: str, first_year: int) -> list[tuple[int, int]]:
+    """Instants of change and offsets after them by a closing rule such as CET-1CEST,M3.5.0,M10.5.0/3."""
+    name = r"(?:[A-Za-z]+|<[^>]+>)"
+    found = re.fullmatch(rf"{name}([+-]?[\d:]+)(?:{name}([+-]?[\d:]+)?,([^,/]+)(?:/([+-]?[\d:]+))?,([^,/]+)(?:/([+-]?[\d:]+))?)?", rule)
+    if not found or not found[3]:
+        return []
+    winter = -_seconds(found[1])
+    summer = -_seconds(found[2]) if found[2] else winter + 3600
+    begins, ends = _seconds(found[4] or "2"), _seconds(found[6] or "2")
+    once = []
+    for year in range(first_year, first_year + 400):
+        once.append((_day(found[3], year) * 86400 + begins - winter, summer))
+        once.append((_day(found[5], year) * 86400 + ends - summer, winter))
+    # The calendar repeats itself every 400 years.
+    return [(at + k * 146_097 * 86400, offset) for k in range((LAST_YEAR - first_year) // 400 + 1) for at, offset in sorted(once)]
+
+
 def _transitions(zone: str) -> tuple[np.ndarray, np.ndarray]:
-    """Offset changes of one zone, found by bisection between probes of twelve hours' to days' width."""
-    info = zoneinfo.ZoneInfo(zone)
-
-    def offset(second: int) -> int:
-        return int((EPOCH + timedelta(seconds=second)).astimezone(info).utcoffset().total_seconds())
-
-    start = int((datetime(FIRST_YEAR, 1, 2, tzinfo=timezone.utc) - EPOCH).total_seconds())
-    end = int((datetime(LAST_YEAR, 1, 1, tzinfo=timezone.utc) - EPOCH).total_seconds())
-    walls, offsets, step = [], [offset(start)], 12 * 86400
-    at, held = start, offsets[0]
-    while at < end:
-        upto = min(at + step, end)
-        now = offset(upto)
-        if now != held:
-            low, high = at, upto
-            while high - low > 1:
-                mid = (low + high) // 2
-                if offset(mid) == held:
-                    low = mid
-                else:
-                    high = mid
-            now = offset(high)
-            walls.append(high + max(held, now))
-            offsets.append(now)
-            held, upto = now, high
-        at = upto
-    return np.array(walls, dtype=np.int64), np.array(offsets, dtype=np.int64)
+    """Wall times from which an offset holds, and the offsets: the first, and one for each of them."""
+    instants, offsets, rule = _parsed(_data(zone))
+    last = instants[-1] if instants else -(1 << 62)
+    year = max(1970, (date(1970, 1, 1) + timedelta(seconds=max(0, last))).year)
+    for at, offset in _ruled(rule, year):
+        if at > last:
+            instants.append(at)
+            offsets.append(offset)
+    if rule and not instants:
+        offsets = [-_seconds(re.match(r"(?:[A-Za-z]+|<[^>]+>)([+-]?[\d:]+)", rule)[1])]
+    walls = [at + max(before, after) for at, before, after in zip(instants, offsets, offsets[1:])]
+    # Changes that leave the offset as it is are none; a wall time is never before an earlier one's.
+    kept = [i for i in range(len(walls)) if offsets[i] != offsets[i + 1]]
+    return np.maximum.accumulate(np.array([walls[i] for i in kept], dtype=np.int64)), np.array([offsets[0], *[offsets[i + 1] for i in kept]], dtype=np.int64)
 
 
 _TABLES: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}

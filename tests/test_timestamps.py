@@ -1,4 +1,4 @@
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import numpy as np
@@ -86,3 +86,20 @@ def test_zone_table_agrees_with_folds(zone):
     # fold 0 is the earlier instant of a doubled time and the offset from before a gap
     expected = [int(datetime.fromtimestamp(int(w), timezone.utc).replace(tzinfo=info, fold=0).utcoffset().total_seconds()) for w in wall]
     assert table.offset(zone, wall).tolist() == expected
+
+
+def test_offsets_of_any_year_equal_the_zone_database():
+    rng = np.random.default_rng(3)
+    for zone in ("Europe/Berlin", "America/New_York", "Asia/Seoul", "Asia/Gaza", "Africa/Casablanca", "Australia/Lord_Howe", "America/Nuuk", "UTC", "Europe/Dublin", "Asia/Tehran"):
+        table = zone_table([zone])
+        walls = np.concatenate([rng.integers(-60_000_000_000, 253_402_200_000, 200), rng.integers(-2_000_000_000, 4_102_444_800, 300), *[table.walls[zone][:200] + d for d in (-7200, -1, 0, 1, 3599)]])
+        for wall, offset in zip(walls.tolist(), table.offset(zone, walls).tolist()):
+            clock = datetime(1970, 1, 1) + timedelta(seconds=wall)
+            assert clock.replace(tzinfo=ZoneInfo(zone)).utcoffset().total_seconds() == offset, (zone, clock)
+
+
+def test_offsets_before_1970_and_after_2100():
+    def offset(zone, *clock):
+        return int(zone_table([zone]).offset(zone, np.array([int((datetime(*clock) - datetime(1970, 1, 1)).total_seconds())]))[0])
+
+    assert offset("Europe/Berlin", 1945, 7, 1) == 10800 and offset("America/New_York", 1968, 7, 1) == -14400 and offset("Europe/Berlin", 2150, 7, 1) == 7200
