@@ -44,12 +44,12 @@ def cooccurrence(df: DataFrame, basket: str, item: str, scope: str | None = None
     blocks = kept.groupBy("__s", "__b").agg(F.count("*").alias("__n")).where(F.col("__n") > BLOCK)
     blocks = blocks.select("__s", "__b", F.ceil(F.col("__n") / BLOCK).cast("int").alias("__blocks"))
     cut = kept.join(blocks, ["__s", "__b"], "left").withColumn("__k", F.coalesce(F.pmod(F.xxhash64("__i"), F.col("__blocks")).cast("int"), F.lit(0)))
-    lists = cut.groupBy("__s", "__b", "__k", F.col("__blocks").isNotNull().alias("__big")).agg(F.collect_list("__i").alias("__items"))
+    lists = cut.groupBy("__s", "__b", "__k", "__blocks").agg(F.collect_list("__i").alias("__items"))
     within = lists.where(F.size("__items") > 1).select("__s", F.explode(_pairs(F.col("__items"))).alias("p"))
-    big = lists.where("__big")
-    one = big.select("__s", "__b", "__k", "__items")
-    two = big.select("__s", "__b", F.col("__k").alias("__k2"), F.col("__items").alias("__items2"))
-    across = one.join(two, ["__s", "__b"]).where("__k < __k2").repartition("__s", "__b", "__k", "__k2")
+    # Every block goes to all pairs of blocks it is in, so that a pair is a key of its own before any join.
+    one = lists.where("__k < __blocks - 1").select("__s", "__b", F.col("__k").alias("__low"), "__items", F.explode(F.expr("sequence(__k + 1, __blocks - 1)")).alias("__high"))
+    two = lists.where("__blocks IS NOT NULL AND __k > 0").select("__s", "__b", F.col("__k").alias("__high"), F.col("__items").alias("__items2"), F.explode(F.expr("sequence(0, __k - 1)")).alias("__low"))
+    across = one.join(two, ["__s", "__b", "__low", "__high"])
     pairs = within.unionByName(across.select("__s", F.explode(_pairs(F.col("__items"), F.col("__items2"))).alias("p")))
     counts = pairs.groupBy("__s", "p.item_a", "p.item_b").agg(F.count("*").alias("together")).where(F.col("together") >= min_count)
     out = (
