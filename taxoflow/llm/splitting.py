@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from taxoflow.llm.bpe import DEFAULT_VOCABULARY, Encoder, encoder
 
+#: Pieces whose sizes are summed up in one run.
+RUN = 1000
 # Marks of what a token's end is, strongest first; x is inside a character, where nothing is ever cut.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER, INSIDE = (ord(c) for c in "PLSCWKx")
 _SPACE = np.zeros(256, dtype=bool)
@@ -19,31 +21,48 @@ _PAUSE = np.zeros(256, dtype=bool)
 _PAUSE[list(b",;:")] = True
 _CLOSING = np.zeros(256, dtype=bool)
 _CLOSING[list(b"\"')]}")] = True
+# Full stops, question and exclamation marks, commas and colons of full width, which no blank follows.
+_WIDE_STOPS, _WIDE_PAUSES = "。！？｡", "、，；："
 
 
-def marks(enc: Encoder, text: str) -> tuple[bytes, np.ndarray]:
-    """One mark per token of the text, and the number of characters begun up to each token's end."""
-    data = np.frombuffer(text.encode(), dtype=np.uint8)
+def marks(enc: Encoder, text: str) -> tuple[bytes, np.ndarray, np.ndarray, bytes]:
+    """One mark per token of the text; up to each token's end the bytes, on to the next whole character, and the
+    characters begun; and the text's bytes."""
+    raw = text.encode()
+    data = np.frombuffer(raw, dtype=np.uint8)
     ends = np.cumsum(enc.lengths[np.array(enc.encode(text), dtype=np.int64)])
-    padded = np.concatenate([[10, 10], data, [10]]).astype(np.uint8)
-    last, before, following = padded[ends + 1], padded[ends], padded[ends + 2]
+    padded = np.concatenate([[10, 10, 10], data, [10, 10, 10, 10]]).astype(np.uint8)
+    before2, before, last, following = (padded[ends + i] for i in range(4))
     spaced = _SPACE[following]
     out = np.full(len(ends), CHARACTER, dtype=np.uint8)
     out[spaced | _SPACE[last]] = WORD
     out[spaced & _PAUSE[last]] = CLAUSE
     out[spaced & (_STOP[last] | (_CLOSING[last] & _STOP[before]))] = SENTENCE
+    for characters, mark in ((_WIDE_PAUSES, CLAUSE), (_WIDE_STOPS, SENTENCE)):
+        for one in characters:
+            x, y, z = one.encode()
+            out[(before2 == x) & (before == y) & (last == z)] = mark
     out[last == 10] = LINE
     out[(last == 10) & (before == 10)] = PARAGRAPH
-    out[(following & 0xC0) == 0x80] = INSIDE
+    inside = (following & 0xC0) == 0x80
+    out[inside] = INSIDE
     if len(out):
         out[-1] = PARAGRAPH
-    return out.tobytes(), np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)[ends - 1]
+    characters = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)[ends - 1]
+    whole = ends.copy()
+    while inside.any():
+        whole += inside
+        inside = inside & ((padded[whole + 3] & 0xC0) == 0x80)
+    return out.tobytes(), whole.astype(np.int32), characters, raw
 
 
-def _pattern(most: int) -> str:
-    """A run of marks that ends at the strongest boundary in its second half, else at the last character."""
+def _pattern(most: int, overlap: int) -> str:
+    """A run of marks that ends at the strongest boundary in its second half, else at the last one before that lies
+    beyond the overlap, else at the last character."""
     least, natural = most // 2, ["P", "L", "S", "C", "W"]
     runs = [f".{{{least},{most - 1}}}{m}" for m in natural]
+    if overlap < least:
+        runs.append(f".{{{overlap},{least - 1}}}[PLSCW]")
     return "|".join([f".{{1,{most}}}\\z", *runs, f".{{0,{most - 1}}}[PLSCWK]", f".{{1,{most}}}"])
 
 
@@ -53,7 +72,8 @@ def split_long(df: DataFrame, key: str, text: str, limit: int = 512, overlap: in
     Columns: key, ``piece`` (from 0), ``start_token``, ``end_token``, ``tokens`` (at most ``limit``),
     ``start_char``, ``end_char`` and ``text``. Each piece after the first begins exactly ``overlap`` tokens
     before the end of the one before; what it adds ends at the strongest boundary in the second half of what
-    fits (paragraph, line, sentence, clause, word), or at the last whole character where there is none. A
+    fits (paragraph, line, sentence, clause, word), or at the last boundary before that, as far as it lies beyond
+    the overlap, or at the last whole character where there is none. A
     piece that begins inside a character, as 64 tokens back may, has its text from the next whole one on.
     The new parts of the pieces, one after the other, are the whole text.
 
@@ -64,26 +84,30 @@ def split_long(df: DataFrame, key: str, text: str, limit: int = 512, overlap: in
         raise ValueError("the overlap must be smaller than the limit")
 
     def scan(texts: pa.Array) -> pa.Array:
-        enc, codes, chars = encoder(vocabulary), [], []
+        enc, found = encoder(vocabulary), []
         for t in texts.to_pylist():
             # A text of at most `limit` bytes cannot have more tokens.
-            found = marks(enc, t) if t and len(t) * 4 > limit and len(t.encode()) > limit else (b"", None)
-            long_ = len(found[0]) > limit
-            codes.append(found[0].decode("ascii") if long_ else None)
-            chars.append(found[1] if long_ else None)
-        return pa.StructArray.from_arrays([pa.array(codes, pa.string()), pa.array(chars, pa.list_(pa.int32()))], names=["marks", "chars"])
+            one = marks(enc, t) if t and len(t) * 4 > limit and len(t.encode()) > limit else (b"", None, None, None)
+            found.append((one[0].decode("ascii"), *one[1:]) if len(one[0]) > limit else (None, None, None, None))
+        kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
+        return pa.StructArray.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*found), kinds)] if found else [pa.array([], kind) for kind in kinds], names=["marks", "bytes", "chars", "data"])
 
     # Not deterministic, so that the filter on its result doesn't have it computed a second time.
-    marked = F.arrow_udf(scan, "struct<marks: string, chars: array<int>>").asNondeterministic()
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("m", marked("t")).where("m.marks IS NOT NULL")
-    rows = rows.select("k", "t", F.col("m.marks").alias("marks"), F.col("m.chars").alias("chars"))
-    rows = rows.withColumn("head", F.regexp_extract("marks", f"\\A(?:{_pattern(limit)})", 0))
-    rows = rows.withColumn("fresh", F.concat(F.array("head"), F.regexp_extract_all(F.expr("substring(marks, length(head) + 1)"), F.lit(_pattern(limit - overlap)), F.lit(0))))
-    rows = rows.withColumn("ends", F.expr("aggregate(fresh, array(0), (a, p) -> concat(a, array(element_at(a, -1) + length(p))))"))
-    pieces = rows.select("k", "t", "chars", "ends", F.explode(F.expr("sequence(1, size(fresh))")).alias("i"))
-    pieces = pieces.select("k", "t", "chars", (F.col("i") - 1).alias("piece"), F.expr(f"IF(i = 1, 0, greatest(0, ends[i - 1] - {overlap}))").alias("s"), F.expr("ends[i]").alias("e"))
-    pieces = pieces.withColumns({"cs": F.expr("IF(s = 0, 0, chars[s - 1])"), "ce": F.expr("chars[e - 1]")})
-    return pieces.select(
-        F.col("k").alias(key), "piece", F.col("s").alias("start_token"), F.col("e").alias("end_token"), F.expr("e - s").alias("tokens"),
-        F.col("cs").alias("start_char"), F.col("ce").alias("end_char"), F.expr("substring(t, cs + 1, ce - cs)").alias("text"),
+    marked = F.arrow_udf(scan, "struct<marks: string, bytes: array<int>, chars: array<int>, data: binary>").asNondeterministic()
+    rows = df.select(F.col(key).alias("k"), marked(text).alias("m")).where("m.marks IS NOT NULL").select("k", "m.*")
+    rows = rows.withColumn("head", F.regexp_extract("marks", f"\\A(?:{_pattern(limit, overlap)})", 0))
+    rows = rows.withColumn("fresh", F.concat(F.array("head"), F.regexp_extract_all(F.expr("substring(marks, length(head) + 1)"), F.lit(_pattern(limit - overlap, overlap)), F.lit(0))))
+    # Ends of the pieces: sums within runs of RUN pieces, and of the runs before, so that no long list is copied often.
+    rows = rows.select("k", "bytes", "chars", "data", F.expr("transform(fresh, p -> length(p))").alias("sizes"))
+    rows = rows.withColumn("runs", F.expr(f"transform(sequence(0, (size(sizes) - 1) div {RUN}), b -> aggregate(slice(sizes, int(b) * {RUN} + 1, {RUN}), array(0), (a, n) -> concat(a, array(element_at(a, -1) + n))))"))
+    rows = rows.withColumn("before", F.expr("aggregate(runs, array(0), (a, r) -> concat(a, array(element_at(a, -1) + element_at(r, -1))))"))
+    end = f"runs[int((i - 1) div {RUN})][int((i - 1) % {RUN}) + 1] + before[int((i - 1) div {RUN})]"
+    last = end.replace("i - 1", "i - 2")
+    spans = F.expr(f"transform(sequence(1, size(sizes)), i -> struct(i - 1 AS piece, IF(i = 1, 0, greatest(0, {last} - {overlap})) AS s, {end} AS e))")
+    rows = rows.withColumn("spans", spans)
+    # Every piece takes its own bytes only; where they begin is looked up, not counted.
+    pieces = F.expr(
+        "transform(spans, x -> struct(x.piece AS piece, x.s AS start_token, x.e AS end_token, x.e - x.s AS tokens, IF(x.s = 0, 0, chars[x.s - 1]) AS start_char, chars[x.e - 1] AS end_char, "
+        "CAST(substring(data, IF(x.s = 0, 0, bytes[x.s - 1]) + 1, bytes[x.e - 1] - IF(x.s = 0, 0, bytes[x.s - 1])) AS STRING) AS text))"
     )
+    return rows.select(F.col("k").alias(key), F.inline(pieces))
