@@ -131,6 +131,14 @@ def test_skeletons():
     assert lookalike.skeleton(None) is None and lookalike.skeleton("\u200b \u00a0") == ""
 
 
+def test_public_prototypes(spark):
+    table = lookalike._Table(lookalike.public_prototypes(spark))
+    for a, b in [*SAME, ("\u13aa", "A"), ("\ua4ee", "A"), ("\ua4f2", "I"), ("\u2c9e", "O"), ("\u217c", "l"), ("\u2163", "IV"), ("\u0475", "v"), ("\u04af", "y")]:
+        assert a != b and lookalike.skeleton(a, table) == lookalike.skeleton(b, table), (a, b)
+    for a, b in [*DIFFERENT, ("\u042c", "b"), ("\u0131", "i"), ("1", "l"), ("\u2013", "-"), ("\u0131", "l")]:
+        assert lookalike.skeleton(a, table) != lookalike.skeleton(b, table), (a, b)
+
+
 def test_lookalike_pairs(spark):
     rows = [("1", "\u0430pple", None), ("2", "apple", "\u00a0"), ("3", "apple", "\u200b"), ("4", "Apple", "x" * 70000 + "\u00a0"), ("5", None, "x" * 70000), (None, "\u0430pple", "q"), ("1", "\u0430pple", None)]
     df = spark.createDataFrame([(*r, "v", "w", "f") for r in rows], "card string, name string, quote string, value string, form string, field string")
