@@ -52,7 +52,7 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 def p4_neighbours(spark: SparkSession, root: str) -> DataFrame:
     """The 8 nearest cards of every card whose number is divisible by 100, among all cards."""
     asked = F.regexp_extract("ids", r"(\d+)$", 1).try_cast("long") % 100 == 0
-    return knn.nearest(table(spark, root, "semantic_embeddings"), "ids", "vectors", 96, 8, probes=8, asked=F.coalesce(asked, F.lit(False)))
+    return knn.nearest(table(spark, root, "semantic_embeddings"), "ids", "vectors", 96, 8, asked=F.coalesce(asked, F.lit(False)))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

@@ -12,6 +12,8 @@ SPARE = 4
 SAME = 1e-5
 #: Nodes that each query expands in one step, and queries handled together.
 EXPAND, TOGETHER = 4, 512
+#: Most centroids that are fitted in one step.
+FLAT = 1024
 
 
 def _prune(x: np.ndarray, near: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -181,11 +183,21 @@ class Graph:
 
 
 def centroids(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """Unit centroids of the sample by spherical k-means; a cell that empties keeps its centroid."""
+    """Unit centroids of the sample by spherical k-means; a cell that empties keeps its centroid.
+
+    More than ``FLAT`` of them are fitted in two steps: as many first as the square root of their number, then
+    within each part of the sample its share.
+    """
     rng = np.random.default_rng(seed)
+    if cells > FLAT:
+        upper = centroids(sample, int(np.ceil(np.sqrt(cells))), rounds, seed)
+        part = np.concatenate([(sample[at : at + 8192] @ upper.T).argmax(axis=1) for at in range(0, len(sample), 8192)])
+        many = np.bincount(part, minlength=len(upper))
+        share = np.maximum(1, np.floor(cells * many / len(sample)).astype(int))
+        return np.concatenate([centroids(sample[part == i], int(share[i]), rounds, seed) for i in np.flatnonzero(many)])
     centre = sample[rng.choice(len(sample), size=min(cells, len(sample)), replace=False)].astype(np.float32)
     for _ in range(rounds):
-        nearest = (sample @ centre.T).argmax(axis=1)
+        nearest = np.concatenate([(sample[at : at + 8192] @ centre.T).argmax(axis=1) for at in range(0, len(sample), 8192)])
         total = np.zeros_like(centre)
         np.add.at(total, nearest, sample)
         norm = np.linalg.norm(total, axis=1, keepdims=True)

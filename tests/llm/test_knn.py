@@ -73,3 +73,29 @@ def test_graph_reaches_equal_points():
     x = np.concatenate([np.tile([[1.0, 0.0]], (20, 1)), np.tile([[0.0, 1.0]], (60, 1))])
     found, _ = Graph(x).search(np.array([[1.0, 0.0]]), 32)
     assert set(range(20)) <= set(found[0].tolist())
+
+
+def test_more_scaled_copies_than_the_beam_holds(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=12)
+    vectors = {f"s{i:03d}": (base * (1 + (i * 37 % 150) / 7)).astype(np.float32) for i in range(150)}
+    vectors |= {f"o{i:03d}": rng.normal(size=12).astype(np.float32) for i in range(200)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "ids string, vectors array<float>")
+    got = {}
+    for r in knn.nearest(df, "ids", "vectors", 12, 8, least=0.9).collect():
+        got.setdefault(r.id, []).append((r.place, r.neighbour))
+    expected = brute(vectors, 8, 0.9)
+    for i in vectors:
+        if i[0] == "s":
+            assert [n for _, n in sorted(got[i])] == [n for n, _ in expected[i]], i
+
+
+def test_centroids_in_two_steps(monkeypatch):
+    from taxoflow.llm import vamana
+
+    monkeypatch.setattr(vamana, "FLAT", 16)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    many = vamana.centroids(x, 100)
+    assert 80 <= len(many) <= 110 and np.allclose(np.linalg.norm(many, axis=1), 1, atol=1e-5) and (x @ many.T).max(axis=1).mean() > (x @ vamana.centroids(x, 10).T).max(axis=1).mean()
