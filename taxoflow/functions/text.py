@@ -32,8 +32,8 @@ def title_key(x: Column) -> Column:
 
 
 def fingerprint(title: Column, date: Column, entities: Column, digits: int = 20) -> Column:
-    """Leading hex digits of the SHA-256 of title key, day and entities, joined by bars."""
-    parts = F.concat_ws("|", title_key(title), F.substring(F.coalesce(date, F.lit("")), 1, 10), F.coalesce(entities, F.lit("")))
+    """Leading hex digits of the SHA-256 of title key, cleaned day and entities' key, joined by bars."""
+    parts = F.concat_ws("|", title_key(title), F.substring(clean(date), 1, 10), title_key(entities))
     return F.substring(F.sha2(parts, 256), 1, digits)
 
 
@@ -61,7 +61,9 @@ def list_of(x: Column) -> Column:
     """Elements of a JSON list, a list in single quotes, or the text itself; none for blank text and nan."""
     t = F.trim(x)
     double = F.from_json(t, "array<string>")
-    single = F.from_json(F.translate(t, "'", '"'), "array<string>")
+    # Only the quotes around the items of a list in single quotes are changed, so that those inside items stay.
+    outer = F.regexp_replace(F.replace(t, F.lit('"'), F.lit('\\"')), r"(?<=[\[,])\s*'|'\s*(?=[,\]])", '"')
+    single = F.from_json(outer, "array<string>")
     none = F.lower(F.coalesce(t, F.lit(""))).isin("", "nan", "none")
     return F.when(none, F.array().cast("array<string>")).when(t.startswith("["), F.coalesce(double, single, F.array(t))).otherwise(F.array(t))
 

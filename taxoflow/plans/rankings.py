@@ -121,10 +121,16 @@ def classified_counts(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "orders").groupBy(F.split_part("o_orderpriority", F.lit("-"), F.lit(1)).alias("class")).agg(F.count("*").alias("n"), F.count_if(closed).alias("closed"), F.round(F.avg(closed.cast("int")), 6).alias("rate"))
 
 
-@R.query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END AS urgent, CASE WHEN o_orderpriority = '2-HIGH' THEN 1.0 ELSE 0.0 END AS high FROM orders")
+@R.query("""WITH l AS (SELECT DISTINCT o_orderpriority AS level FROM orders WHERE o_orderpriority IS NOT NULL), k AS (SELECT level FROM l WHERE level > (SELECT min(level) FROM l))
+SELECT o_orderkey, k.level, CASE WHEN o_orderpriority = k.level THEN 1.0 ELSE 0.0 END AS value FROM orders, k""")
 def one_hot(spark: SparkSession, root: str) -> DataFrame:
-    level = lambda v: F.when(F.col("o_orderpriority") == v, 1.0).otherwise(0.0)
-    return table(spark, root, "orders").select("o_orderkey", level("1-URGENT").alias("urgent"), level("2-HIGH").alias("high"))
+    """Indicator columns of all levels but the first in order, as rows; at most 1,000 levels, which name columns."""
+    orders = table(spark, root, "orders")
+    found = sorted(r[0] for r in orders.where("o_orderpriority IS NOT NULL").select("o_orderpriority").distinct().limit(1001).collect())
+    if len(found) > 1000:
+        raise ValueError("more than 1000 levels")
+    wide = orders.select("o_orderkey", *[F.when(F.col("o_orderpriority") == v, 1.0).otherwise(0.0).alias(v) for v in found[1:]])
+    return wide.unpivot(["o_orderkey"], found[1:], "level", "value")
 
 
 @R.query("SELECT event_type, min(ts) AS first_seen, count(*) AS n FROM events GROUP BY event_type")
@@ -132,12 +138,19 @@ def first_seen_groups(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "events").groupBy("event_type").agg(F.min("ts").alias("first_seen"), F.count("*").alias("n"))
 
 
-@R.query("""SELECT 'degree_sum' AS law, CAST(count(*) AS BIGINT) AS broken FROM (SELECT o_orderkey FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(l_linenumber) > 7)
-UNION ALL SELECT 'rank_gaps', count(*) FROM (SELECT case_id FROM case_verification_table GROUP BY case_id HAVING count(DISTINCT rank) > max(rank))""")
+@R.query("""WITH c AS (SELECT case_id, count(*) AS n, count(DISTINCT l4_id) AS cards, count(rank) AS ranks, count(DISTINCT rank) AS places, max(rank) AS last FROM case_verification_table WHERE case_id IS NOT NULL GROUP BY case_id),
+l AS (SELECT o_orderkey, count(l_linenumber) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT 'three_per_case' AS law, count(*) FILTER (n <> 3) AS broken, count(*) AS checked FROM c UNION ALL SELECT 'card_once_per_case', count(*) FILTER (cards <> n), count(*) FROM c
+UNION ALL SELECT 'rank_gaps', count(*) FILTER (places <> last), count(*) FROM c UNION ALL SELECT 'rank_repeats', count(*) FILTER (places <> ranks), count(*) FROM c
+UNION ALL SELECT 'lines_per_order', count(*) FILTER (n NOT BETWEEN 1 AND 7), count(*) FROM l""")
 def quality_laws(spark: SparkSession, root: str) -> DataFrame:
-    lines = table(spark, root, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n > 7").agg(F.count("*").alias("broken"))
-    ranks = table(spark, root, "case_verification_table").groupBy("case_id").agg(F.count_distinct("rank").alias("d"), F.max("rank").alias("m")).where("d > m").agg(F.count("*").alias("broken"))
-    return lines.select(F.lit("degree_sum").alias("law"), "broken").unionByName(ranks.select(F.lit("rank_gaps").alias("law"), "broken"))
+    """How many groups break each law: three rows a case, a card once a case, ranks without gaps and repeats, one to seven lines an order."""
+    c = table(spark, root, "case_verification_table").where("case_id IS NOT NULL").groupBy("case_id").agg(F.count("*").alias("n"), F.count_distinct("l4_id").alias("cards"), F.count("rank").alias("ranks"), F.count_distinct("rank").alias("places"), F.max("rank").alias("last"))
+    cases = {"three_per_case": "n <> 3", "card_once_per_case": "cards <> n", "rank_gaps": "places <> last", "rank_repeats": "places <> ranks"}
+    counted = c.agg(F.count("*").alias("checked"), *[F.count_if(F.expr(x)).alias(law) for law, x in cases.items()])
+    laws = counted.unpivot(["checked"], [*cases], "law", "broken").select("law", "broken", "checked")
+    lines = table(spark, root, "orders").join(table(spark, root, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderkey").agg(F.count("l_linenumber").alias("n"))
+    return laws.unionByName(lines.agg(F.lit("lines_per_order").alias("law"), F.count_if(~F.col("n").between(1, 7)).alias("broken"), F.count("*").alias("checked")))
 
 
 @R.query("""SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2""")

@@ -29,10 +29,24 @@ def doc_clean_hash(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select("doc_id", F.sha2(tx.clean(F.col("text")), 256).alias("digest"))
 
 
-@R.query("""SELECT record_uid, source_snapshot, substr(sha256(concat_ws('|', array_to_string(regexp_extract_all(lower(coalesce(incident_title, '')), '[a-z0-9]+'), ' '),
-  substr(coalesce(event_date, ''), 1, 10), coalesce(harmed_entities, ''))), 1, 20) AS fingerprint FROM source_records""")
+def key_sql(x: str) -> str:
+    return f"array_to_string(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+'), ' ')"
+
+
+def clean_sql(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '{WS}', ' ', 'g'), ' ')"
+
+
+_ENTITIES_SQL = "coalesce(developer, '') || ' ' || coalesce(deployer, '') || ' ' || coalesce(harmed_entities, '')"
+
+
+@R.query(f"""SELECT record_uid, source_snapshot, {key_sql('incident_title')} AS title_key, substr({clean_sql('event_date')}, 1, 7) AS month, {key_sql(_ENTITIES_SQL)} AS entities,
+substr(sha256(concat_ws('|', {key_sql('incident_title')}, substr({clean_sql('event_date')}, 1, 10), {key_sql(_ENTITIES_SQL)})), 1, 20) AS fingerprint FROM source_records""")
 def record_fingerprint(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "source_records").select("record_uid", "source_snapshot", tx.fingerprint(F.col("incident_title"), F.col("event_date"), F.col("harmed_entities")).alias("fingerprint"))
+    entities = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("developer", "deployer", "harmed_entities")])
+    title, date = F.col("incident_title"), F.col("event_date")
+    rows = table(spark, root, "source_records")
+    return rows.select("record_uid", "source_snapshot", tx.title_key(title).alias("title_key"), F.substring(tx.clean(date), 1, 7).alias("month"), tx.title_key(entities).alias("entities"), tx.fingerprint(title, date, entities).alias("fingerprint"))
 
 
 @R.query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
@@ -70,23 +84,6 @@ def first_nonblank_coalesce(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "source_records").select("record_uid", "source_snapshot", tx.first_filled(*[F.col(c) for c in names.values()]).alias("name"), origin.alias("given_by"))
 
 
-OVERLAID = ["risk_name", "severity_raw", "severity_normalized", "severity_provenance", "harm_types", "ai_system"]
-
-
-@R.query(
-    f"""WITH d AS (SELECT *, try_cast(regexp_extract(canonical_aiid_id, '([0-9]+)', 1) AS BIGINT) AS k FROM source_records),
-a AS (SELECT * FROM d WHERE source = 'AIID' AND k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY {LAST_SQL}, record_uid) = 1),
-m AS (SELECT * FROM d WHERE source = 'MIT AI Incident Tracker' AND k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY {LAST_SQL}, record_uid) = 1)
-SELECT coalesce(a.k, m.k) AS k, CASE WHEN a.k IS NOT NULL THEN a.incident_title ELSE m.incident_title END AS incident_title, """
-    + ", ".join(f"coalesce({filled_sql('m.' + f)}, a.{f}) AS {f}" for f in OVERLAID)
-    + """, CASE WHEN m.k IS NULL THEN 'AIID' WHEN a.k IS NULL THEN 'MIT Tracker delta' ELSE 'AIID; MIT Tracker' END AS coverage FROM a FULL JOIN m ON a.k = m.k"""
-)
-def full_outer_reconcile(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "source_records").withColumn("k", F.regexp_extract("canonical_aiid_id", "([0-9]+)", 1).try_cast("bigint")).where("k IS NOT NULL")
-    one = [reconcile.keep_last(rows.where(F.col("source") == s), ["k"], [*latest_first(), F.col("record_uid")]).select("k", "incident_title", *OVERLAID) for s in ("AIID", "MIT AI Incident Tracker")]
-    return reconcile.overlay(one[0], one[1], "k", OVERLAID, ("AIID; MIT Tracker", "AIID", "MIT Tracker delta"))
-
-
 NAMED_SQL = """SELECT r.*, CAST(u.n AS BIGINT) AS entity FROM source_records r, unnest(list_distinct(regexp_extract_all(regexp_replace(canonical_aiid_id, '([0-9])[.]0+($|[^0-9])', '\\1\\2', 'g'), '[0-9]+'))) AS u(n)"""
 
 
@@ -96,6 +93,33 @@ def _named(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "source_records").withColumn("entity", F.explode(F.array_distinct(F.regexp_extract_all(whole, F.lit("([0-9]+)"), F.lit(1))))).withColumn("entity", F.col("entity").cast("bigint"))
 
 
+OVERLAID = ["risk_name", "severity_raw", "severity_normalized", "severity_provenance", "harm_types", "ai_system"]
+
+
+@R.query(
+    f"""WITH d AS ({NAMED_SQL}),
+a AS (SELECT * FROM d WHERE source = 'AIID' QUALIFY row_number() OVER (PARTITION BY entity ORDER BY {LAST_SQL}, record_uid) = 1),
+m AS (SELECT * FROM d WHERE source = 'MIT AI Incident Tracker' QUALIFY row_number() OVER (PARTITION BY entity ORDER BY {LAST_SQL}, record_uid) = 1),
+o AS (SELECT * FROM source_records WHERE source = 'OECD AIM' AND NOT regexp_matches(coalesce(canonical_aiid_id, ''), '[0-9]') QUALIFY row_number() OVER (PARTITION BY record_uid ORDER BY {LAST_SQL}) = 1)
+SELECT 'AIID:' || coalesce(a.entity, m.entity) AS canonical_incident_id, CASE WHEN a.entity IS NOT NULL THEN a.incident_title ELSE m.incident_title END AS incident_title, """
+    + ", ".join(f"coalesce({filled_sql('m.' + f)}, a.{f}) AS {f}" for f in OVERLAID)
+    + """, CASE WHEN m.entity IS NULL THEN 'AIID' WHEN a.entity IS NULL THEN 'MIT Tracker delta' ELSE 'AIID; MIT Tracker' END AS source_coverage FROM a FULL JOIN m ON a.entity = m.entity
+UNION ALL SELECT record_uid, incident_title, """
+    + ", ".join(OVERLAID)
+    + ", 'OECD AIM' FROM o"
+)
+def full_outer_reconcile(spark: SparkSession, root: str) -> DataFrame:
+    """Every incident that the database or the tracker names, the tracker's fields over the database's, and the monitor's
+    records that name none."""
+    rows = _named(spark, root)
+    one = [reconcile.keep_last(rows.where(F.col("source") == s), ["entity"], [*latest_first(), F.col("record_uid")]).select("entity", "incident_title", *OVERLAID) for s in ("AIID", "MIT AI Incident Tracker")]
+    linked = reconcile.overlay(one[0], one[1], "entity", OVERLAID, ("AIID; MIT Tracker", "AIID", "MIT Tracker delta"))
+    linked = linked.select(F.concat(F.lit("AIID:"), F.col("entity").cast("string")).alias("canonical_incident_id"), "incident_title", *OVERLAID, F.col("coverage").alias("source_coverage"))
+    alone = table(spark, root, "source_records").where((F.col("source") == "OECD AIM") & ~F.coalesce("canonical_aiid_id", F.lit("")).rlike("[0-9]"))
+    alone = reconcile.keep_last(alone, ["record_uid"], latest_first())
+    return linked.unionByName(alone.select(F.col("record_uid").alias("canonical_incident_id"), "incident_title", *OVERLAID, F.lit("OECD AIM").alias("source_coverage")))
+
+
 def _longest_sql(c: str) -> str:
     f = filled_sql(c)
     return f"max(CASE WHEN {f} IS NOT NULL THEN {{'n': length({f}), 't': {f}}} END).t"
@@ -205,7 +229,9 @@ def sorted_distinct_concat(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "heart_l4_risk_cards").groupBy("l2_id").agg(reconcile.distinct_joined(F.col("evidence_reference_type"), " || ").alias("kinds"))
 
 
-PROFILED = ["source_record_id", "canonical_aiid_id", "incident_title", "risk_name", "risk_description", "event_date", "published_date", "severity_raw", "harm_types", "harmed_entities", "countries", "ai_system", "developer", "deployer", "event_year"]
+PROFILED = """source source_record_id record_uid canonical_aiid_id incident_title risk_name risk_description event_date published_date severity_raw severity_normalized severity_provenance
+harm_types harmed_entities countries industry_sector ai_system developer deployer source_url report_urls source_license source_snapshot source_specific_json dedup_title_normalized dedup_date_bucket
+dedup_entity_tokens dedup_fingerprint event_year report_count actual_harm near_miss_possible""".split()
 
 
 @R.query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({filled_sql(f'CAST({c} AS VARCHAR)')} IS NULL) AS blank_rows, round(count(*) FILTER ({filled_sql(f'CAST({c} AS VARCHAR)')} IS NULL) / count(*), 6) AS blank_rate FROM source_records" for c in PROFILED))
@@ -224,9 +250,14 @@ def wide_measures_unpivot(spark: SparkSession, root: str) -> DataFrame:
     return rows.unpivot(["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"], "measure", "value").where("value > 0.05")
 
 
-@R.query("""SELECT record_uid, source_snapshot, CASE WHEN lower(trim(coalesce(canonical_aiid_id, ''))) IN ('', 'nan', 'none') THEN 0 WHEN starts_with(trim(canonical_aiid_id), '[') THEN len(regexp_extract_all(canonical_aiid_id, '[0-9]+')) ELSE 1 END AS n FROM source_records""")
+_ITEMS_SQL = """list_transform(regexp_extract_all(trim(canonical_aiid_id), '[^\\[\\],''"]+'), lambda x: trim(x))"""
+
+
+@R.query(f"""SELECT record_uid, source_snapshot, CASE WHEN lower(trim(coalesce(canonical_aiid_id, ''))) IN ('', 'nan', 'none') THEN '' WHEN starts_with(trim(canonical_aiid_id), '[')
+THEN array_to_string(list_filter({_ITEMS_SQL}, lambda x: x <> ''), '|') ELSE trim(canonical_aiid_id) END AS items FROM source_records""")
 def tolerant_list_parse(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "source_records").select("record_uid", "source_snapshot", F.size(tx.list_of(F.col("canonical_aiid_id"))).cast("long").alias("n"))
+    items = tx.list_of(F.col("canonical_aiid_id"))
+    return table(spark, root, "source_records").select("record_uid", "source_snapshot", F.array_join(items, "|").alias("items"))
 
 
 @R.query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type")
@@ -235,9 +266,10 @@ def json_props(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
 
 
-@R.query("""SELECT record_uid, source_snapshot, json_object('ai_system', ai_system, 'developer', developer, 'deployer', deployer) AS packed FROM source_records WHERE ai_system IS NOT NULL AND developer IS NOT NULL AND deployer IS NOT NULL""")
+@R.query("""SELECT record_uid, source_snapshot, '{' || concat_ws(',', CASE WHEN ai_system IS NOT NULL THEN '"ai_system":' || to_json(ai_system) END, CASE WHEN developer IS NOT NULL THEN '"developer":' || to_json(developer) END,
+CASE WHEN deployer IS NOT NULL THEN '"deployer":' || to_json(deployer) END, CASE WHEN report_count IS NOT NULL THEN '"report_count":' || report_count END) || '}' AS packed FROM source_records""")
 def packed_fields(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "source_records").select("record_uid", "source_snapshot", "ai_system", "developer", "deployer").dropna(subset=["ai_system", "developer", "deployer"])
+    rows = table(spark, root, "source_records").select("record_uid", "source_snapshot", "ai_system", "developer", "deployer", "report_count")
     return reconcile.packed(rows, ["record_uid", "source_snapshot"], "packed")
 
 
@@ -246,20 +278,23 @@ def year_month_buckets(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "source_records").select(tx.year_of(F.col("event_date")).alias("year"), tx.month_of(F.col("event_date")).alias("month")).groupBy("year", "month").agg(F.count("*").alias("n"))
 
 
-@R.query("""WITH c AS (SELECT date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
-s AS (SELECT unnest(generate_series((SELECT min(m) FROM c), (SELECT max(m) FROM c), INTERVAL 1 MONTH)) AS m)
-SELECT strftime(s.m, '%Y-%m') AS month, coalesce(c.n, 0) AS n, round(coalesce(c.n, 0) / max(c.n) OVER (), 6) AS height FROM s LEFT JOIN c ON s.m = c.m""")
+@R.query("""WITH c AS (SELECT o_orderpriority AS p, date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2),
+s AS (SELECT p, unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS m FROM c GROUP BY p)
+SELECT s.p AS priority, strftime(s.m, '%Y-%m') AS month, coalesce(c.n, 0) AS n, round(coalesce(c.n, 0) / max(c.n) OVER (PARTITION BY s.p), 6) AS height FROM s LEFT JOIN c ON s.m = c.m AND s.p = c.p""")
 def monthly_bars_with_empty_months(spark: SparkSession, root: str) -> DataFrame:
-    counts = table(spark, root, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.trunc("o_orderdate", "month").alias("m")).agg(F.count("*").alias("n"))
-    span = counts.agg(F.explode(F.sequence(F.min("m"), F.max("m"), F.expr("interval 1 month"))).alias("m"))
-    rows = span.join(counts, "m", "left")
-    return rows.select(F.date_format("m", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("n", F.lit(0)) / F.max("n").over(Window.partitionBy()), 6).alias("height"))
+    counts = table(spark, root, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.trunc("o_orderdate", "month").alias("m")).agg(F.count("*").alias("n"))
+    span = counts.groupBy("priority").agg(F.sequence(F.min("m"), F.max("m"), F.expr("interval 1 month")).alias("m")).select("priority", F.explode("m").alias("m"))
+    rows = span.join(counts, ["priority", "m"], "left")
+    return rows.select("priority", F.date_format("m", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("n", F.lit(0)) / F.max("n").over(Window.partitionBy("priority")), 6).alias("height"))
 
 
-@R.query(r"""SELECT nullif(lower(regexp_extract(coalesce(source_url, ''), '^https?://(?:[^/@]*@)?([^/:?#]+)', 1)), '') AS host, count(*) AS n, count(*) FILTER (starts_with(source_url, 'https://')) AS secure FROM source_records GROUP BY 1""")
+@R.query(r"""WITH u AS (SELECT 'record' AS kind, source_url AS u FROM source_records UNION ALL SELECT 'evidence', evidence_url FROM heart_l4_risk_cards UNION ALL SELECT 'case', primary_report_url FROM case_verification_table)
+SELECT kind, nullif(lower(regexp_extract(coalesce(u, ''), '^https?://(?:[^/@]*@)?([^/:?#]+)', 1)), '') AS host, count(*) AS n, count(*) FILTER (starts_with(u, 'https://')) AS secure FROM u GROUP BY 1, 2""")
 def url_hosts(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "source_records").select(tx.host_of(F.col("source_url")).alias("host"), F.coalesce(F.col("source_url").startswith("https://"), F.lit(False)).alias("s"))
-    return rows.groupBy("host").agg(F.count("*").alias("n"), F.count_if("s").alias("secure"))
+    columns = {"record": ("source_records", "source_url"), "evidence": ("heart_l4_risk_cards", "evidence_url"), "case": ("case_verification_table", "primary_report_url")}
+    parts = [table(spark, root, t).select(F.lit(kind).alias("kind"), F.col(c).alias("u")) for kind, (t, c) in columns.items()]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.select("kind", tx.host_of(F.col("u")).alias("host"), F.coalesce(F.col("u").startswith("https://"), F.lit(False)).alias("s")).groupBy("kind", "host").agg(F.count("*").alias("n"), F.count_if("s").alias("secure"))
 
 
 @R.query(f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '{WS}', ' ', 'g'), ' ')) AS digest FROM documents")
