@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxoflow.functions.text import filled
@@ -32,3 +32,15 @@ def report(counts: dict[str, DataFrame]) -> DataFrame:
     """(``check_name``, ``violations``) of several checks, each one aggregate."""
     rows = [df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check_name"), "violations") for name, df in counts.items()]
     return reduce(DataFrame.unionByName, rows)
+
+
+def pinned(counts: dict[str, tuple[int, DataFrame]]) -> DataFrame:
+    """(``pinned``, ``expected``, ``found``, ``holds``) of one-row tables of ``found``, each with the count it must have."""
+    rows = [df.select(F.lit(name).alias("pinned"), F.lit(n).alias("expected"), "found", (F.col("found") == n).alias("holds")) for name, (n, df) in counts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def status_class(status: Column) -> Column:
+    """Class of an answer's status: reachable, access_controlled, http_error, or network_error where there is none."""
+    held = F.when(status.between(200, 399), "reachable").when(status.isin(401, 403, 429), "access_controlled").otherwise("http_error")
+    return F.when(status.isNull(), "network_error").otherwise(held)

@@ -68,3 +68,8 @@ def screened(df: DataFrame, text: Column, weighted: dict[str, tuple[str, int]],
     score = reduce(Column.__add__, [F.when(hits[n], w).otherwise(0) for n, (_, w) in weighted.items()]) + base
     names = F.concat_ws("; ", *[F.when(h, F.lit(n)) for n, h in hits.items()])
     return df.withColumns({"score": score, "reasons": names}).where(reduce(Column.__or__, hits.values()))
+
+
+def within_or_unknown(x: Column, most: float) -> Column:
+    """True where a number is at most a bound or not known."""
+    return x.isNull() | (x <= most)

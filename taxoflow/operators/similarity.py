@@ -78,13 +78,3 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     means = flat.groupBy(group, "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
     listed = means.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("xs"))
     return listed.select(group, unit(F.transform("xs", lambda s: s["x"])).alias("centroid"))
-
-
-def tfidf(df: DataFrame, id_: str, words: Column, most: float = 0.75, least: int = 2) -> DataFrame:
-    """(id, ``term``, ``weight``): (1 + ln tf)(1 + ln((1 + N) / (1 + df))) for terms of middling frequency, rows of unit length."""
-    terms = df.select(id_, F.explode(words).alias("term")).groupBy(id_, "term").agg(F.count("*").alias("tf"))
-    total = df.agg(F.count("*").alias("n"))
-    spread = terms.groupBy("term").agg(F.count("*").alias("df")).join(total).where((F.col("df") >= least) & (F.col("df") <= most * F.col("n")))
-    raw = terms.join(spread, "term").select(id_, "term", ((1 + F.log("tf")) * (1 + F.log((1 + F.col("n")) / (1 + F.col("df"))))).alias("w"))
-    length = raw.groupBy(id_).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return raw.join(length, id_).select(id_, "term", (F.col("w") / F.col("length")).alias("weight"))

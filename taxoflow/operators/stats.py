@@ -6,9 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from taxoflow.operators.numbering import numbered
+from taxoflow.session import parallelism
+
 
 def keyed(seed: int, *parts: Column) -> Column:
     """Order key: MD5 of seed and parts joined by bars."""
@@ -26,22 +30,43 @@ def replicated(df: DataFrame, reps: int, name: str = "rep") -> DataFrame:
 
 
 def shuffled(df: DataFrame, id_: str, label: str, stratum: list[str], reps: int, seed: int) -> DataFrame:
-    """(``rep``, id, stratum, ``permuted``): labels permuted within strata, by hash order, for each repetition."""
-    by = Window.partitionBy(*stratum).orderBy(id_)
-    base = df.select(id_, *stratum, label).withColumn("__j", F.row_number().over(by))
+    """(``rep``, id, stratum, ``permuted``): labels permuted within strata, by hash order, for each repetition.
+
+    Without strata the whole table is one, whose rows are numbered in ranges."""
+    if stratum:
+        base = df.select(id_, *stratum, label).withColumn("__j", F.row_number().over(Window.partitionBy(*stratum).orderBy(id_)).cast("long"))
+    else:
+        base = numbered(df.select(id_, label), [id_], "__j")
     own = base.select(id_, *stratum, "__j")
     drawn = replicated(base, reps)
-    drawn = drawn.withColumn("__j", F.row_number().over(Window.partitionBy("rep", *stratum).orderBy(keyed(seed, F.col("rep"), F.col(id_)), id_)))
+    drawn = drawn.withColumn("__j", F.row_number().over(Window.partitionBy("rep", *stratum).orderBy(keyed(seed, F.col("rep"), F.col(id_)), id_)).cast("long"))
     return own.join(drawn.select("rep", *stratum, "__j", F.col(label).alias("permuted")), [*stratum, "__j"]).drop("__j")
 
 
-def bootstrap_means(df: DataFrame, value: str, order: list[str], reps: int, seed: int) -> DataFrame:
-    """(``rep``, ``mean``) of resamples with replacement: row i of a repetition is row hash(rep, i) of the table."""
-    numbered = df.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1).select("__i", F.col(value).cast("double").alias("__v"))
-    n = numbered.agg(F.count("*").alias("__n"))
-    picks = replicated(numbered.select("__i").join(n), reps).withColumn("__p", hash_index(seed, F.col("__n"), F.col("rep"), F.col("__i")))
-    drawn = picks.select("rep", "__p").join(numbered.select(F.col("__i").alias("__p"), "__v"), "__p")
-    return drawn.groupBy("rep").agg(F.avg("__v").alias("mean"))
+def permutation_test(nulls: DataFrame, observed: DataFrame, lower: bool = False) -> DataFrame:
+    """One row: the observed rate against the rates of permutations (column ``rate``): mean, standard deviation and
+    95th percentile of these, ratio of observed to expected, one-sided p as (b + 1) / (B + 1), and z.
+
+    ``lower`` counts the permutations at most as large instead of those at least as large.
+    """
+    rate, seen = F.round("rate", 12), F.round("observed", 12)
+    sums = nulls.join(observed).groupBy("observed").agg(
+        F.count("*").alias("permutations"), F.avg("rate").alias("null_mean"), F.stddev_samp("rate").alias("null_sd"), F.percentile("rate", F.lit(0.95)).alias("null_p95"), F.count_if(rate <= seen if lower else rate >= seen).alias("beyond")
+    )
+    return sums.select("permutations", "observed", "null_mean", "null_sd", "null_p95", F.try_divide("observed", "null_mean").alias("ratio"), ((F.col("beyond") + 1) / (F.col("permutations") + 1)).alias("p"), F.try_divide(F.col("observed") - F.col("null_mean"), F.col("null_sd")).alias("z"))
+
+
+def bootstrap_share(df: DataFrame, flag: Column, reps: int, seed: int) -> DataFrame:
+    """One row: number of rows, share for which the flag is true, and mean and 95 % interval of resamples' shares.
+
+    Draw i of a repetition is row hash(rep, i) of the rows in an order that has the true ones first, so that a draw
+    is true if it is below their number; no row is looked up.
+    """
+    whole = df.agg(F.count("*").alias("n"), F.count_if(flag).alias("hits"))
+    draws = replicated(whole.select("n", "hits", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)))).alias("i")).where("n > 0"), reps)
+    rates = draws.groupBy("n", "hits", "rep").agg((F.count_if(hash_index(seed, F.col("n"), F.col("rep"), F.col("i")) < F.col("hits")) / F.first("n")).alias("rate"))
+    sums = rates.groupBy("n", "hits").agg(F.avg("rate").alias("mean"), F.percentile("rate", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return sums.select("n", (F.col("hits") / F.col("n")).alias("share"), "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def confusion(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
@@ -71,54 +96,110 @@ def ccdf(df: DataFrame, value: str) -> DataFrame:
     return counts.select(value, "n", (above / F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
-def power_law(df: DataFrame, value: str, least_tail: int) -> DataFrame:
-    """Every candidate minimum with a long enough tail: (``xmin``, ``n``, ``alpha``, ``ks``), continuous model.
+#: Terms that are summed before the Euler-Maclaurin remainder, and its Bernoulli numbers over factorials (fixed values).
+_ZETA_TERMS, _ZETA_REST = 12, [1 / 12, -1 / 720, 1 / 30240, -1 / 1209600, 1 / 47900160]
+
+
+def hurwitz(s: float, q: np.ndarray) -> np.ndarray:
+    """The sum of (q + k) ** -s over k = 0, 1, ..., for s above 1."""
+    q = np.asarray(q, dtype=np.float64)
+    head = ((q[..., None] + np.arange(_ZETA_TERMS)) ** -s).sum(axis=-1)
+    at = q + _ZETA_TERMS
+    rest = at ** (1 - s) / (s - 1) + at**-s / 2
+    factor, power = s, at ** (-s - 1)
+    for j, b in enumerate(_ZETA_REST):
+        rest = rest + b * factor * power
+        factor, power = factor * (s + 2 * j + 1) * (s + 2 * j + 2), power / at**2
+    return head + rest
+
+
+def _alphas(x: np.ndarray, n: np.ndarray, discrete: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Values in the tail from every value on, and the exponents fitted to them, from sums over the table's end."""
+    tail = np.cumsum(n[::-1])[::-1]
+    logs = np.cumsum((n * np.log(x))[::-1])[::-1] - tail * np.log(x - 0.5 if discrete else x)
+    with np.errstate(divide="ignore"):
+        return tail, 1 + tail / np.where(logs > 0, logs, 0)
+
 
-    alpha is 1 + n / sum ln(x / xmin); ks is the largest distance of i / n from the model's distribution at
-    the i-th smallest value of the tail.
+def _distance(x: np.ndarray, n: np.ndarray, alpha: float, discrete: bool) -> float:
+    """Largest distance of i / n from the model at the i-th smallest value of a tail, given as values and counts."""
+    upto = np.cumsum(n)
+    model = 1 - hurwitz(alpha, x + 1) / hurwitz(alpha, x[0]) if discrete else 1 - (x / x[0]) ** (1 - alpha)
+    return float(np.maximum(np.abs(upto / upto[-1] - model), np.abs((upto - n + 1) / upto[-1] - model)).max())
+
+
+def _table_of(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct positive values and their counts, at most ``VALUES``."""
+    counts = df.select(F.col(value).cast("double").alias("x")).where("x > 0").groupBy("x").agg(F.count("*").alias("n"))
+    found = counts.limit(VALUES + 1).toArrow()
+    if found.num_rows > VALUES:
+        raise ValueError(f"more than {VALUES} distinct values")
+    order = np.argsort(found.column("x").to_numpy())
+    return found.column("x").to_numpy()[order], found.column("n").to_numpy()[order]
+
+
+#: Distinct values of a distribution that go to the driver and to all tasks as a table of counts (16 MB); more are an error.
+VALUES = 1 << 20
+
+
+def power_law(df: DataFrame, value: str, least_tail: int, discrete: bool = False) -> DataFrame:
+    """Every candidate minimum with a long enough tail: (``xmin``, ``n``, ``alpha``, ``ks``, ``chosen``).
+
+    alpha is 1 + n / sum ln(x / xmin), with xmin - 1/2 for integers; ks is the largest distance of i / n from the
+    model's distribution at the i-th smallest value of the tail, which for integers is by the Hurwitz zeta function.
+    The candidate of least ks is chosen, of equal ones the smallest. Null and non-positive values take no part.
+
+    Rows are counted by value in one shuffle; the table of counts gives all exponents by sums from its end, and the
+    candidates' distances are spread over tasks. More than ``VALUES`` distinct values are an error.
     """
-    x = df.select(F.col(value).cast("double").alias("x")).where("x > 0")
-    tails = x.select(F.col("x").alias("xmin")).distinct().join(x, F.col("x") >= F.col("xmin"))
-    fits = tails.groupBy("xmin").agg(F.count("*").alias("n"), (1 + F.count("*") / F.sum(F.log(F.col("x") / F.col("xmin")))).alias("alpha")).where(F.col("n") >= least_tail)
-    ranked = tails.join(fits, "xmin").withColumn("i", F.row_number().over(Window.partitionBy("xmin").orderBy("x")))
-    gap = F.abs(F.col("i") / F.col("n") - (1 - F.pow(F.col("x") / F.col("xmin"), 1 - F.col("alpha"))))
-    return ranked.groupBy("xmin", "n", "alpha").agg(F.max(gap).alias("ks"))
+    spark = df.sparkSession
+    x, n = _table_of(df, value)
+    tail, alpha = _alphas(x, n, discrete)
+    able = np.flatnonzero((tail >= least_tail) & np.isfinite(alpha))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = able[batch.column("id").to_numpy()]
+            ks = [_distance(x[i:], n[i:], alpha[i], discrete) for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]), pa.array(tail[at].astype(np.int64)), pa.array(alpha[at]), pa.array(ks, pa.float64())], names=["xmin", "n", "alpha", "ks"])
+
+    fits = spark.range(0, len(able), 1, min(max(1, len(able)), 4 * parallelism(spark))).mapInArrow(run, "xmin double, n long, alpha double, ks double")
+    best = fits.agg(F.min(F.struct(F.round("ks", 12), "xmin"))["xmin"].alias("best"))
+    return fits.join(best).withColumn("chosen", F.col("xmin") == F.col("best")).drop("best")
 
 
-def tail_bootstrap(values: DataFrame, value: str, xmin: float, alpha: float, observed: float, least_tail: int, reps: int, seed: int) -> DataFrame:
-    """(``rep``, ``ks``) of semi-parametric resamples, each fitted anew with its minimum; failed fits give no row.
+def tail_bootstrap(df: DataFrame, value: str, fit: Row, least_tail: int, reps: int, seed: int, discrete: bool = False) -> DataFrame:
+    """(``rep``, ``ks``, ``exceeds``) of semi-parametric resamples, each fitted anew with its minimum.
 
-    The values, at most ten million, go to every task; repetitions are spread over tasks, each with its seed.
+    A resample has as many values below the minimum as the data, drawn from these with replacement, and as many in
+    the tail, drawn from the model, which for integers ends at the larger of 1,000 and 40 times the minimum. A
+    resample without a tail that can be fitted gives no row. The table of counts goes to every task, see
+    ``VALUES``; repetitions are spread over tasks, each with its seed.
     """
-    data = values.select(F.col(value).cast("double")).where(F.col(value) > 0).limit(10_000_001).toPandas().iloc[:, 0].to_numpy()
-    if len(data) > 10_000_000:
-        raise ValueError("more than ten million values")
-    body, n = data[data < xmin], len(data)
-
-    def fit(x: np.ndarray) -> float | None:
-        x, best = np.sort(x), None
-        for m in np.unique(x):
-            tail = x[np.searchsorted(x, m) :]
-            if len(tail) < least_tail or tail[-1] == m:
-                continue
-            a = 1 + len(tail) / np.log(tail / m).sum()
-            ks = np.abs(np.arange(1, len(tail) + 1) / len(tail) - (1 - (tail / m) ** (1 - a))).max()
-            best = ks if best is None else min(best, ks)
-        return best
+    x, n = _table_of(df, value)
+    body, tail, xmin, alpha, observed = x < fit["xmin"], int(fit["n"]), fit["xmin"], fit["alpha"], fit["ks"]
+    support = np.arange(int(xmin), max(1000, int(xmin) * 40) + 1) if discrete else None
+
+    def resample(rng: np.random.Generator) -> np.ndarray:
+        below = np.repeat(x[body], rng.multinomial(n[body].sum(), n[body] / n[body].sum())) if body.any() else x[:0]
+        if discrete:
+            weight = support**-alpha
+            return np.concatenate([below, np.repeat(support, rng.multinomial(tail, weight / weight.sum()))]).astype(np.float64)
+        return np.concatenate([below, xmin * (1 - rng.random(tail)) ** (-1 / (alpha - 1))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for rep in batch["id"]:
-                rng = np.random.default_rng([seed, int(rep)])
-                head = rng.random(n) < len(body) / n
-                drawn = xmin * (1 - rng.random(n)) ** (-1 / (alpha - 1))
-                sample = np.where(head, rng.choice(body, n) if len(body) else drawn, drawn)
-                if (ks := fit(sample)) is not None:
-                    rows.append((int(rep), float(ks), bool(ks >= observed)))
+                v, c = np.unique(resample(np.random.default_rng([seed, int(rep)])), return_counts=True)
+                size, a = _alphas(v, c, discrete)
+                able = np.flatnonzero((size >= least_tail) & np.isfinite(a))
+                if len(able):
+                    ks = min(_distance(v[i:], c[i:], a[i], discrete) for i in able)
+                    rows.append((int(rep), ks, bool(ks >= observed)))
             yield pd.DataFrame(rows, columns=["rep", "ks", "exceeds"])
 
-    return values.sparkSession.range(reps).repartition(min(reps, 32)).mapInPandas(run, "rep long, ks double, exceeds boolean")
+    return df.sparkSession.range(0, reps, 1, min(reps, 32)).mapInPandas(run, "rep long, ks double, exceeds boolean")
 
 
 def normal_equations(df: DataFrame, y: Column, xs: dict[str, Column]) -> DataFrame:
@@ -138,6 +219,15 @@ def normal_equations(df: DataFrame, y: Column, xs: dict[str, Column]) -> DataFra
     return df.sparkSession.createDataFrame([(t, float(v), r2) for t, v in zip(names, beta)], "term string, coefficient double, r2 double")
 
 
+def within_regression(df: DataFrame, y: str, x: str, level: str) -> DataFrame:
+    """One row: least squares of y on x with a constant per level, by deviations from the levels' means: number of rows
+    and levels, ``slope``, sums of squares of x within levels (``sxx``), of residuals (``rss``) and of y (``tss``)."""
+    means = df.groupBy(level).agg(F.avg(x).alias("__mx"), F.avg(y).alias("__my"))
+    d = df.join(means, level).select(level, (F.col(x) - F.col("__mx")).alias("dx"), (F.col(y) - F.col("__my")).alias("dy"), F.col(y).alias("y"))
+    sums = d.agg(F.count("*").alias("n"), F.count_distinct(level).alias("levels"), F.sum(F.col("dx") * F.col("dx")).alias("sxx"), F.sum(F.col("dx") * F.col("dy")).alias("sxy"), F.sum(F.col("dy") * F.col("dy")).alias("syy"), (F.var_pop("y") * F.count("*")).alias("tss"))
+    return sums.select("n", "levels", F.try_divide("sxy", "sxx").alias("slope"), "sxx", (F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx"))).alias("rss"), "tss")
+
+
 def stratified_sample(df: DataFrame, id_: str, stratum: str, quota: Column, seed: int) -> DataFrame:
     """Up to a quota of rows per stratum, the first by hash order of their id."""
     w = Window.partitionBy(stratum).orderBy(keyed(seed, F.col(id_)), id_)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxoflow.plans import extras, general, networks, rankings, records, statistics
+from taxoflow.plans import contracts, extras, general, networks, rankings, records, statistics
 
-MODULES = [general, records, networks, rankings, statistics, extras]
+MODULES = [general, records, networks, rankings, statistics, extras, contracts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -102,7 +102,7 @@ def mcnemar_test(spark: SparkSession, root: str) -> DataFrame:
 @R.query()
 def vuong_test(spark: SparkSession, root: str) -> DataFrame:
     s = strengths(spark, root)
-    best = stats.power_law(s, "strength", 50).orderBy("ks", "xmin").first()
+    best = stats.power_law(s, "strength", 50).where("chosen").first()
     if best is None:
         return spark.createDataFrame([], "ratio double, z double, p double, preferred string")
     return models.vuong(s, "strength", best["xmin"], best["alpha"])
@@ -117,7 +117,7 @@ def logistic_robust(spark: SparkSession, root: str) -> DataFrame:
 
 @R.query()
 def kmeans_clusters(spark: SparkSession, root: str) -> DataFrame:
-    return models.kmeans_farthest_first(nw.vectors(spark, root), "vec_id", "embedding", 12, rounds=20)
+    return models.kmeans_farthest_first(nw.vectors(spark, root), "vec_id", "embedding", 12)
 
 
 @R.query(f"""WITH {nw.TFIDF_SQL}, m AS (SELECT d.l1_id, term, sum(weight) / (SELECT count(*) FROM d x WHERE x.l1_id = d.l1_id) AS w FROM t JOIN d ON d.l4_id = t.l4_id WHERE d.l1_id IS NOT NULL GROUP BY 1, 2)

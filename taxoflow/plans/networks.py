@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taxoflow.operators import network, similarity, stats
+from taxoflow.operators import matching, network, numbering, reconcile, rules, similarity, stats
 from taxoflow.operators.components import connected_components
 from taxoflow.plans.registry import Registry
 from taxoflow.session import checkpointed
@@ -91,7 +91,7 @@ CAST(row_number() OVER (ORDER BY degree DESC, round(strength, 6) DESC, node) AS
 def knn_graph_hub_ranking(spark: SparkSession, root: str) -> DataFrame:
     profile = network.domain_profile(nodes(spark, root), edges(spark, root))
     out = profile.select("node", "domain", "degree", F.round("strength", 6).alias("strength"), F.col("cross").alias("cross_edges"), F.round("share", 6).alias("share"), "reached")
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("degree"), F.desc("strength"), "node")))
+    return numbering.numbered(out, [F.desc("degree"), F.desc("strength"), "node"], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 @R.query(f"""WITH {BASE}, t AS (SELECT unnest({THRESHOLDS}) AS threshold), x AS (SELECT DISTINCT t.threshold, least(query, item) AS src, greatest(query, item) AS dst FROM k, t WHERE rank <= {NEAR} AND similarity >= t.threshold),
@@ -236,7 +236,8 @@ def bridge_table(spark: SparkSession, root: str) -> DataFrame:
     e = edges(spark, root)
     rows = network.betweenness(e).join(network.domain_profile(nodes(spark, root), e), "node")
     ranked = rows.select("node", "domain", F.round("betweenness", 12).alias("betweenness"), "degree", "cross", F.round("share", 6).alias("share"))
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("betweenness"), "node"))).where("rank <= 20")
+    # The limit comes first, so that the numbers are given to 20 rows.
+    return ranked.orderBy(F.desc("betweenness"), "node").limit(20).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("betweenness"), "node")))
 
 
 @R.query()
@@ -301,31 +302,122 @@ def paired_scorers(spark: SparkSession, root: str) -> DataFrame:
     return rows.agg(F.count_if(F.col("a") & ~F.col("b")).alias("only_first"), F.count_if(F.col("b") & ~F.col("a")).alias("only_second"), F.count_if(F.col("a") & F.col("b")).alias("both"))
 
 
-_NAME_WORDS = "list_filter(regexp_extract_all(lower(l4_name_en), '[a-z]{3,}'), lambda x: true)"
-TFIDF_SQL = f"""d AS (SELECT l4_id, l1_id, {_NAME_WORDS} AS w FROM heart_l4_risk_cards), x AS (SELECT l4_id, term, count(*) AS tf FROM d, unnest(w) AS u(term) GROUP BY 1, 2),
+#: Words that the features of names and stories leave out; a parameter of the features.
+STOP = "a an the and or of to in on for by from with without as at is are be that this it its their which when where while into over under than not can may will should has have had".split()
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
+
+
+def _grams_sql(words: str) -> str:
+    kept = f"list_filter({words}, lambda w: NOT list_contains({_STOP_SQL}, w))"
+    return f"list_concat({kept}, list_transform(list_zip({kept}[1:-2], {kept}[2:]), lambda p: p[1] || ' ' || p[2]))"
+
+
+_NAME_TEXT = "lower(coalesce(l4_name_en, '') || ' ' || coalesce(l4_name_en, '') || ' ' || coalesce(risk_definition_en, ''))"
+TFIDF_SQL = f"""d AS (SELECT l4_id, l1_id, {_grams_sql(f"regexp_extract_all({_NAME_TEXT}, '[a-z]{{3,}}')")} AS w FROM heart_l4_risk_cards), x AS (SELECT l4_id, term, count(*) AS tf FROM d, unnest(w) AS u(term) GROUP BY 1, 2),
 y AS (SELECT term, count(*) AS df FROM x GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.75 * (SELECT count(*) FROM d)),
 r AS (SELECT l4_id, x.term, (1 + ln(tf)) * (1 + ln((1 + (SELECT count(*) FROM d)) / (1 + df))) AS w FROM x JOIN y ON y.term = x.term),
 t AS (SELECT l4_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY l4_id)) AS weight FROM r)"""
 
 
 def name_weights(spark: SparkSession, root: str) -> DataFrame:
-    return similarity.tfidf(table(spark, root, "heart_l4_risk_cards"), "l4_id", F.regexp_extract_all(F.lower("l4_name_en"), F.lit("([a-z]{3,})"), F.lit(1)))
+    """Weights of the words and word pairs of every card's name, counted twice, and definition."""
+    text = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("l4_name_en", "l4_name_en", "risk_definition_en")]))
+    return matching.weights(table(spark, root, "heart_l4_risk_cards"), "l4_id", matching.grams(F.regexp_extract_all(text, F.lit("([a-z]{3,})"), F.lit(1)), STOP), most=0.75, least=2)
 
 
 @R.query(f"WITH {TFIDF_SQL} SELECT l4_id, term, round(weight, 6) AS weight FROM t")
 def tfidf_weights(spark: SparkSession, root: str) -> DataFrame:
-    return name_weights(spark, root).withColumn("weight", F.round("weight", 6))
+    return name_weights(spark, root).select("l4_id", "term", F.round("weight", 6).alias("weight"))
+
+
+_PAIRS_SQL = f"{TFIDF_SQL}, s AS (SELECT a.l4_id, b.l4_id AS other, round(sum(a.weight * b.weight), 6) AS score FROM t a JOIN t b ON a.term = b.term AND a.l4_id <> b.l4_id GROUP BY 1, 2)"
 
 
-@R.query(f"""WITH {TFIDF_SQL}, s AS (SELECT a.l4_id, b.l4_id AS other, round(sum(a.weight * b.weight), 6) AS score FROM t a JOIN t b ON a.term = b.term AND a.l4_id <> b.l4_id GROUP BY 1, 2),
-f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY l4_id ORDER BY score DESC, other) = 1) SELECT f.* FROM f JOIN d a ON a.l4_id = f.l4_id JOIN d b ON b.l4_id = f.other WHERE score >= 0.55 AND a.l1_id = b.l1_id""")
+@R.query(f"""WITH {_PAIRS_SQL}, f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY l4_id ORDER BY score DESC, other) = 1) SELECT f.* FROM f JOIN d a ON a.l4_id = f.l4_id JOIN d b ON b.l4_id = f.other WHERE score >= 0.55 AND a.l1_id = b.l1_id""")
 def name_match_candidates(spark: SparkSession, root: str) -> DataFrame:
+    """The best match of every card by name and definition, if it is good enough and of the same domain."""
     t = checkpointed(name_weights(spark, root))
-    other = t.select(F.col("l4_id").alias("other"), "term", F.col("weight").alias("w"))
-    scores = t.join(other, "term").where("l4_id <> other").groupBy("l4_id", "other").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("score"))
-    best = scores.withColumn("n", F.row_number().over(Window.partitionBy("l4_id").orderBy(F.desc("score"), "other"))).where("n = 1").drop("n")
+    best = matching.best_match(matching.cosine_pairs(t, t, "l4_id", 0.55), "l4_id")
     cards = table(spark, root, "heart_l4_risk_cards").select("l4_id", "l1_id")
-    return best.where("score >= 0.55").join(cards, "l4_id").join(cards.select(F.col("l4_id").alias("other"), F.col("l1_id").alias("l1_other")), "other").where("l1_id = l1_other").select("l4_id", "other", "score")
+    return best.join(cards, "l4_id").join(cards.select(F.col("l4_id").alias("other"), F.col("l1_id").alias("l1_other")), "other").where("l1_id = l1_other").select("l4_id", "other", "score")
+
+
+@R.query(f"WITH {_PAIRS_SQL}, n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY l4_id ORDER BY score DESC, other) <= 3) SELECT DISTINCT least(l4_id, other) AS src, greatest(l4_id, other) AS dst, score AS weight FROM n WHERE score >= 0.3")
+def name_neighbour_edges(spark: SparkSession, root: str) -> DataFrame:
+    """Edges to the three nearest cards by name and definition, from a similarity of 0.3 on."""
+    t = checkpointed(name_weights(spark, root))
+    near = Window.partitionBy("l4_id").orderBy(F.desc("score"), "other")
+    links = matching.cosine_pairs(t, t, "l4_id", 0.3).withColumn("n", F.row_number().over(near)).where("n <= 3")
+    return links.select(F.least("l4_id", "other").alias("src"), F.greatest("l4_id", "other").alias("dst"), F.col("score").alias("weight")).distinct()
+
+
+_LATEST_SQL = "SELECT * FROM source_records QUALIFY row_number() OVER (PARTITION BY record_uid ORDER BY source_snapshot DESC NULLS LAST, incident_title ASC NULLS LAST, risk_description ASC NULLS LAST, ai_system ASC NULLS LAST) = 1"
+_STORY_SQL = f"""d AS (SELECT record_uid, source, event_year, regexp_matches(coalesce(canonical_aiid_id, ''), '[0-9]') AS linked, {_grams_sql("regexp_extract_all(lower(coalesce(incident_title, '') || ' ' || coalesce(risk_description, '')), '[a-z0-9_]{2,}')")} AS w FROM ({_LATEST_SQL}) WHERE source IN ('AIID', 'OECD AIM')),
+x AS (SELECT record_uid, term, count(*) AS tf FROM d, unnest(w) AS u(term) GROUP BY 1, 2), y AS (SELECT term, count(*) AS df FROM x GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 80000),
+r AS (SELECT record_uid, x.term, tf * (1 + ln((1 + (SELECT count(*) FROM d)) / (1 + df))) AS w FROM x JOIN y ON y.term = x.term), t AS (SELECT record_uid, term, w / sqrt(sum(w * w) OVER (PARTITION BY record_uid)) AS weight FROM r)"""
+
+
+def story_weights(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Latest records of the database and the monitor, and the weights of their words and word pairs."""
+    order = [F.col("source_snapshot").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ("incident_title", "risk_description", "ai_system")]]
+    rows = reconcile.keep_last(table(spark, root, "source_records"), ["record_uid"], order).where(F.col("source").isin("AIID", "OECD AIM"))
+    text = F.lower(F.concat(F.coalesce("incident_title", F.lit("")), F.lit(" "), F.coalesce("risk_description", F.lit(""))))
+    linked = F.coalesce("canonical_aiid_id", F.lit("")).rlike("[0-9]").alias("linked")
+    rows = checkpointed(rows.select("record_uid", "source", "event_year", linked, matching.grams(F.regexp_extract_all(text, F.lit("([a-z0-9_]{2,})"), F.lit(1)), STOP).alias("w")))
+    return rows, checkpointed(matching.weights(rows, "record_uid", F.col("w"), log_tf=False, features=80_000))
+
+
+@R.query(f"WITH {_STORY_SQL} SELECT record_uid, count(*) AS terms, round(max(weight), 6) AS heaviest FROM t GROUP BY record_uid")
+def story_features(spark: SparkSession, root: str) -> DataFrame:
+    _, t = story_weights(spark, root)
+    return t.groupBy("record_uid").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("heaviest"))
+
+
+@R.query(f"""WITH {_STORY_SQL}, s AS (SELECT a.record_uid, b.record_uid AS other, round(sum(a.weight * b.weight), 6) AS score FROM t a JOIN d p ON p.record_uid = a.record_uid AND p.source = 'OECD AIM' JOIN t b ON a.term = b.term JOIN d q ON q.record_uid = b.record_uid AND q.source = 'AIID' GROUP BY 1, 2),
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY record_uid ORDER BY score DESC, other) = 1)
+SELECT f.record_uid, other, score, abs(p.event_year - q.event_year) AS years FROM f JOIN d p ON p.record_uid = f.record_uid JOIN d q ON q.record_uid = f.other WHERE NOT p.linked AND score >= 0.55 AND (abs(p.event_year - q.event_year) IS NULL OR abs(p.event_year - q.event_year) <= 1)""")
+def record_match_candidates(spark: SparkSession, root: str) -> DataFrame:
+    """For monitor records that name no incident the best match in the database, if good enough and not over a year apart."""
+    rows, t = story_weights(spark, root)
+    of = lambda s: t.join(rows.where(F.col("source") == s).select("record_uid"), "record_uid", "left_semi")
+    best = matching.best_match(matching.cosine_pairs(of("OECD AIM"), of("AIID"), "record_uid", 0.55), "record_uid")
+    asked = rows.where("NOT linked").select("record_uid", "event_year")
+    both = best.join(asked, "record_uid").join(rows.select(F.col("record_uid").alias("other"), F.col("event_year").alias("other_year")), "other")
+    both = both.withColumn("years", F.abs(F.col("event_year") - F.col("other_year")))
+    return both.where(rules.within_or_unknown(F.col("years"), 1)).select("record_uid", "other", "score", "years")
+
+
+@R.query(f"""WITH {BASE}, s2 AS (SELECT label, vec_id, e[1] AS x, e[2] AS y FROM v), m AS (SELECT label, avg(x) AS mx, avg(y) AS my FROM s2 GROUP BY label) SELECT label, round(mx, 6) AS x, round(my, 6) AS y,
+(SELECT count(*) FROM s2 WHERE s2.label = m.label) AS n FROM m""")
+def mean_coordinates(spark: SparkSession, root: str) -> DataFrame:
+    rows = vectors(spark, root).select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return rows.groupBy("label").agg(F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"), F.count("*").alias("n"))
+
+
+@R.query("""WITH c AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings), b AS (SELECT label, min(x) AS low, max(x) AS high, avg(x) AS mean FROM c GROUP BY label), w AS (SELECT c.*, low, high, mean, max(abs(x - mean)) OVER (PARTITION BY label) AS far FROM c JOIN b USING (label))
+SELECT vec_id, round((x - low) / nullif(high - low, 0), 6) AS between, round((x - mean) / nullif(far, 0), 6) AS centred FROM w""")
+def scaled_coordinates(spark: SparkSession, root: str) -> DataFrame:
+    """First coordinates brought between 0 and 1, and centred and scaled to 1, within each label."""
+    rows = vectors(spark, root).select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"))
+    bounds = rows.groupBy("label").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"))
+    far = F.greatest(F.col("high") - F.col("mean"), F.col("mean") - F.col("low"))
+    return rows.join(bounds, "label").select("vec_id", F.round(F.try_divide(F.col("x") - F.col("low"), F.col("high") - F.col("low")), 6).alias("between"), F.round(F.try_divide(F.col("x") - F.col("mean"), far), 6).alias("centred"))
+
+
+@R.query(f"WITH {BASE}, r AS (SELECT v.label, g.node, round(strength, 6) AS strength FROM g JOIN v ON v.vec_id = g.node) SELECT label, node, strength, strength = max(strength) OVER (PARTITION BY label) AS strongest FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY strength DESC, node) <= 2")
+def label_representatives(spark: SparkSession, root: str) -> DataFrame:
+    """The two strongest nodes of every label, and whether each has its label's greatest strength."""
+    d = network.degrees(nodes(spark, root), edges(spark, root)).select("node", F.round("strength", 6).alias("strength"))
+    rows = d.join(vectors(spark, root).select(F.col("vec_id").alias("node"), "label"), "node")
+    w = Window.partitionBy("label").orderBy(F.desc("strength"), "node")
+    top = rows.withColumn("n", F.row_number().over(w)).where("n <= 2")
+    return top.select("label", "node", "strength", (F.col("strength") == F.max("strength").over(Window.partitionBy("label"))).alias("strongest"))
+
+
+@R.query()
+def leading_components(spark: SparkSession, root: str) -> DataFrame:
+    """48 coordinates of every vector along the directions of largest variance."""
+    return matching.leading_components(table(spark, root, "embeddings"), "vec_id", "embedding", 64, 48)
 
 
 @R.query(f"""WITH {BASE}, p AS (SELECT node, rank() OVER (ORDER BY degree) + (count(*) OVER (PARTITION BY degree) - 1) / 2.0 AS x, rank() OVER (ORDER BY round(strength, 6)) + (count(*) OVER (PARTITION BY round(strength, 6)) - 1) / 2.0 AS y FROM g) SELECT round(corr(x, y), 9) AS rho FROM p""")

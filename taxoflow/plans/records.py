@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from taxoflow.functions import text as tx
 from taxoflow.operators import quality, reconcile, rules
+from taxoflow.operators.numbering import numbered
 from taxoflow.plans.registry import Registry
 from taxoflow.sources import table
 
@@ -149,14 +150,6 @@ def left_lookup_enrichment(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("row_id", "l4_id", F.coalesce("l2_name_en", F.lit("")).alias("l2_name"), F.coalesce("l3_name_en", F.lit("")).alias("l3_name"))
 
 
-@R.query("""SELECT v.row_id, v.l4_name_en AS copied, c.l4_name_en AS current FROM case_verification_table v JOIN heart_l4_risk_cards c ON v.l4_id = c.l4_id
-WHERE v.l4_name_en IS DISTINCT FROM c.l4_name_en OR v.l1_id IS DISTINCT FROM c.l1_id""")
-def inner_contract_mismatches(spark: SparkSession, root: str) -> DataFrame:
-    v, c = table(spark, root, "case_verification_table").alias("v"), table(spark, root, "heart_l4_risk_cards").alias("c")
-    rows = v.join(c, F.col("v.l4_id") == F.col("c.l4_id")).where(~F.col("v.l4_name_en").eqNullSafe(F.col("c.l4_name_en")) | ~F.col("v.l1_id").eqNullSafe(F.col("c.l1_id")))
-    return rows.select("v.row_id", F.col("v.l4_name_en").alias("copied"), F.col("c.l4_name_en").alias("current"))
-
-
 @R.query("SELECT v.row_id, c.l4_name_en, c.l3_id, c.l1_id FROM case_verification_table v LEFT JOIN heart_l4_risk_cards c ON v.l4_id = c.l4_id")
 def denormalised_refresh(spark: SparkSession, root: str) -> DataFrame:
     master = table(spark, root, "heart_l4_risk_cards").select("l4_id", "l4_name_en", "l3_id", "l1_id")
@@ -188,14 +181,6 @@ def one_to_one_validated_join(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "heart_l4_risk_cards").select("l4_id").join(e, "l4_id").select("l4_id", "listed", ((F.col("digests") == 1) & (F.col("listed") == 1)).alias("one_to_one"))
 
 
-@R.query("""WITH h AS (SELECT record_uid, source_snapshot, sha256(concat_ws(chr(10), coalesce(incident_title, ''), coalesce(risk_description, ''))) AS h FROM source_records)
-SELECT a.record_uid, a.source_snapshot AS earlier, b.source_snapshot AS later, count(*) AS n FROM h a JOIN h b ON a.record_uid = b.record_uid AND a.h = b.h AND a.source_snapshot < b.source_snapshot GROUP BY 1, 2, 3""")
-def hash_verified_join(spark: SparkSession, root: str) -> DataFrame:
-    h = table(spark, root, "source_records").select("record_uid", "source_snapshot", F.sha2(F.concat_ws("\n", F.coalesce("incident_title", F.lit("")), F.coalesce("risk_description", F.lit(""))), 256).alias("h"))
-    a, b = h.withColumnRenamed("source_snapshot", "earlier"), h.withColumnRenamed("source_snapshot", "later")
-    return a.join(b, ["record_uid", "h"]).where("earlier < later").groupBy("record_uid", "earlier", "later").agg(F.count("*").alias("n"))
-
-
 @R.query("""SELECT 'card_keys' AS check_name, count(*) AS violations FROM (SELECT l4_id FROM heart_l4_risk_cards GROUP BY l4_id HAVING count(*) > 1)
 UNION ALL SELECT 'case_cards', count(*) FROM case_verification_table v WHERE l4_id IS NOT NULL AND l4_id NOT IN (SELECT l4_id FROM heart_l4_risk_cards)
 UNION ALL SELECT 'case_records', count(*) FROM case_verification_table v WHERE case_id NOT IN (SELECT record_uid FROM source_records)
@@ -335,11 +320,6 @@ def lens_intersection(spark: SparkSession, root: str) -> DataFrame:
     return rules.within_lenses(table(spark, root, "heart_l4_risk_cards").select("l4_id"), "l4_id", _members(spark, root), ["robots", "", "leaks"])
 
 
-@R.query("SELECT l4_id FROM heart_l4_risk_cards WHERE false")
-def lens_unknown_is_empty(spark: SparkSession, root: str) -> DataFrame:
-    return rules.within_lenses(table(spark, root, "heart_l4_risk_cards").select("l4_id"), "l4_id", _members(spark, root), ["robots", "no such lens"])
-
-
 @R.query("""SELECT l4_id, l4_name_en FROM heart_l4_risk_cards WHERE l1_id = 'L1_G' AND contains(lower(concat_ws(' ', l4_id, l4_name_en, l4_name_ko, risk_definition_en, risk_definition_ko, l3_name_en, facet, act_type)), 'agent') ORDER BY l4_id LIMIT 48 OFFSET 0""")
 def faceted_search(spark: SparkSession, root: str) -> DataFrame:
     fields = ["l4_id", "l4_name_en", "l4_name_ko", "risk_definition_en", "risk_definition_ko", "l3_name_en", "facet", "act_type"]
@@ -383,8 +363,8 @@ def quote_word_counts(spark: SparkSession, root: str) -> DataFrame:
 
 @R.query("""SELECT l4_id, 'HV-' || lpad(CAST(row_number() OVER (ORDER BY l1_id, l3_id, l4_id) AS VARCHAR), 6, '0') AS sequence_id FROM heart_l4_risk_cards""")
 def padded_sequence_ids(spark: SparkSession, root: str) -> DataFrame:
-    at = F.row_number().over(Window.orderBy("l1_id", "l3_id", "l4_id"))
-    return table(spark, root, "heart_l4_risk_cards").select("l4_id", F.concat(F.lit("HV-"), F.lpad(at.cast("string"), 6, "0")).alias("sequence_id"))
+    rows = numbered(table(spark, root, "heart_l4_risk_cards").select("l4_id", "l1_id", "l3_id"), ["l1_id", "l3_id", "l4_id"], "at")
+    return rows.select("l4_id", F.concat(F.lit("HV-"), F.lpad(F.col("at").cast("string"), 6, "0")).alias("sequence_id"))
 
 
 @R.query("""WITH m AS (SELECT * FROM (VALUES ('L1_P', 'Physical'), ('L1_A', 'Agentic')) AS t(k, v)) SELECT l4_id, coalesce(m.v, 'General') AS domain_name FROM heart_l4_risk_cards LEFT JOIN m ON l1_id = m.k""")

@@ -50,11 +50,54 @@ def test_kmeans_finds_planted_clusters(spark):
 
 def test_tail_bootstrap_repeats(spark):
     x = spark.createDataFrame([(float(v),) for v in (1 - np.random.default_rng(5).random(200)) ** (-1 / 1.5)], "x double")
-    best = stats.power_law(x, "x", 50).orderBy("ks", "xmin").first()
-    runs = [sorted(map(tuple, stats.tail_bootstrap(x, "x", best.xmin, best.alpha, best.ks, 50, 6, 1).collect())) for _ in range(2)]
+    best = stats.power_law(x, "x", 50).where("chosen").first()
+    runs = [sorted(map(tuple, stats.tail_bootstrap(x, "x", best, 50, 6, 1).collect())) for _ in range(2)]
     assert runs[0] == runs[1] and len(runs[0]) == 6
 
 
 def test_tail_bootstrap_runs_the_references_repetitions(spark):
-    row = catalogue.queries()["tail_bootstrap_p"](spark, "/root/testdata/sf0.001").first()
-    assert 990 <= row["completed"] <= 1000 and row["p"] == row["exceeding"] / row["completed"]
+    rows = {r.value: r for r in catalogue.queries()["tail_bootstrap_p"](spark, "/root/testdata/sf0.001").collect()}
+    assert rows and all(990 <= r.completed <= 1000 and r.p == r.exceeding / r.completed for r in rows.values())
+
+
+def test_hurwitz_zeta():
+    q = np.array([1.0, 2.0, 7.0, 60.0])
+    for s in (1.5, 2.5, 4.5, 9.0):
+        k = np.arange(200_000)
+        direct = ((q[:, None] + k) ** -s).sum(axis=1) + (q + 199_999.5) ** (1 - s) / (s - 1)
+        assert np.allclose(stats.hurwitz(s, q), direct, rtol=1e-9)
+
+
+def test_power_law_against_its_definition(spark):
+    values = np.random.default_rng(8).integers(1, 12, 300).astype(float)
+    df = spark.createDataFrame([(v,) for v in values.tolist()] + [(None,), (0.0,), (-3.0,)], "x double")
+    for discrete in (False, True):
+        for r in stats.power_law(df, "x", 50, discrete).collect():
+            tail = np.sort(values[values >= r.xmin])
+            alpha = 1 + len(tail) / np.log(tail / (r.xmin - 0.5 * discrete)).sum()
+            model = 1 - stats.hurwitz(alpha, tail + 1) / stats.hurwitz(alpha, np.array([r.xmin])) if discrete else 1 - (tail / r.xmin) ** (1 - alpha)
+            assert r.n == len(tail) and math.isclose(r.alpha, alpha) and math.isclose(r.ks, np.abs(np.arange(1, len(tail) + 1) / len(tail) - model).max())
+
+
+def test_numbers_and_ranks_without_one_task(spark):
+    from taxoflow.operators.numbering import competition_rank, numbered
+
+    values = np.random.default_rng(1).integers(0, 40, 500).tolist()
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v long").repartition(7)
+    got = {r.id: r.at for r in numbered(df, [F.desc("v"), "id"], "at").collect()}
+    assert got == {i: n for n, (_, i) in enumerate(sorted((-v, i) for i, v in enumerate(values)), 1)}
+    assert {r.id: r.k for r in competition_rank(df, "v", "k").collect()} == {i: 1 + sum(w > v for w in values) for i, v in enumerate(values)}
+    assert numbered(df.limit(0), ["id"], "at").count() == 0
+
+
+def test_vuong_by_sums_equals_the_sum_over_values(spark):
+    rng = np.random.default_rng(6)
+    x = np.exp(rng.normal(1.2, 0.5, 3000))
+    x = x[x >= 1.0]
+    y = np.log(x)
+    alpha = 1 + len(x) / y.sum()
+    mu, sigma, left = models._truncated_normal(y.mean(), (y**2).mean())
+    assert abs(mu - 1.2) < 0.1 and abs(sigma - 0.5) < 0.1
+    gap = math.log(alpha - 1) - (alpha - 1) * y + math.log(sigma * math.sqrt(2 * math.pi)) + (y - mu) ** 2 / (2 * sigma**2) + left
+    row = models.vuong(spark.createDataFrame([(float(v),) for v in x], "x double"), "x", 1.0, float(alpha)).first()
+    assert math.isclose(row["ratio"], gap.sum(), rel_tol=1e-6) and math.isclose(row["z"], gap.mean() / (gap.std(ddof=1) / math.sqrt(len(gap))), rel_tol=1e-6)
