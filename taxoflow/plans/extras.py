@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taxoflow.operators import models, network, similarity, stats
+from taxoflow.operators import models, network, numbering, similarity, stats
 from taxoflow.plans import networks as nw
 from taxoflow.plans.registry import Registry
 from taxoflow.plans.statistics import strengths
@@ -43,12 +43,30 @@ def neighbour_overlap(spark: SparkSession, root: str) -> DataFrame:
     return shared.agg(F.round(F.avg("overlap"), 6).alias("overlap")).join(same_a.withColumnRenamed("same", "same_first")).join(same_b.withColumnRenamed("same", "same_second"))
 
 
-@R.query("SELECT row_id, replace(replace(l4_id, 'P_DAT_', 'P_DTA_'), 'G_SYS_', 'G_SST_') AS l4_id FROM case_verification_table")
+#: Old and new beginnings of ids, replaced wherever they stand in a text, in this order.
+RENAMED = {"P_DAT_": "P_DTA_", "G_SYS_": "G_SST_", "G_SOC_": "G_SCL_", "G_INT_": "G_ITR_", "A_DAT_": "A_DTA_", "P_SOC_": "P_SCL_"}
+
+
+def _renamed_sql(x: str) -> str:
+    for old, new in RENAMED.items():
+        x = f"replace({x}, '{old}', '{new}')"
+    return x
+
+
+@R.query(f"""WITH n AS (SELECT case_id, list(l4_id ORDER BY l4_id) AS cards, max('seen with ' || l4_id) AS note FROM (SELECT DISTINCT case_id, l4_id FROM case_verification_table WHERE l4_id IS NOT NULL) GROUP BY case_id)
+SELECT case_id, {_renamed_sql("array_to_string(cards, ',')")} AS cards, {_renamed_sql("note")} AS note FROM n""")
 def id_migration(spark: SparkSession, root: str) -> DataFrame:
-    renamed = F.col("l4_id")
-    for old, new in {"P_DAT_": "P_DTA_", "G_SYS_": "G_SST_"}.items():
-        renamed = F.replace(renamed, F.lit(old), F.lit(new))
-    return table(spark, root, "case_verification_table").select("row_id", renamed.alias("l4_id"))
+    """Ids renamed in nested values: lists of structures of ids, and texts that hold them."""
+
+    def renamed(x: Column) -> Column:
+        for old, new in RENAMED.items():
+            x = F.replace(x, F.lit(old), F.lit(new))
+        return x
+
+    v = table(spark, root, "case_verification_table").where("l4_id IS NOT NULL").select("case_id", "l4_id").distinct()
+    nested = v.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("l4_id", F.concat(F.lit("seen with "), "l4_id").alias("note")))).alias("cards"))
+    moved = nested.withColumn("cards", F.transform("cards", lambda c: F.struct(renamed(c["l4_id"]).alias("l4_id"), renamed(c["note"]).alias("note"))))
+    return moved.select("case_id", F.array_join(F.transform("cards", lambda c: c["l4_id"]), ",").alias("cards"), F.element_at("cards", -1)["note"].alias("note"))
 
 
 @R.query(f"""WITH {nw.BASE}, d AS (SELECT unnest([0.0, 0.02, 0.05, 0.1]) AS margin), x AS (SELECT margin, query, count(*) AS n, count(DISTINCT db) > 1 AS c FROM (SELECT l.*, max(similarity) OVER (PARTITION BY query) AS top FROM l) t, d WHERE similarity >= round(top - margin, 6) GROUP BY 1, 2)
@@ -60,10 +78,15 @@ def margin_rule_curve(spark: SparkSession, root: str) -> DataFrame:
     return each.groupBy("margin").agg(F.round(F.avg("n"), 6).alias("links"), F.round(F.avg(F.col("c").cast("int")), 6).alias("crossing"))
 
 
-@R.query("""SELECT coalesce(trim(developer), '') <> '' AS has_developer, coalesce(trim(deployer), '') <> '' AS has_deployer, count(*) AS n, count(*) FILTER (actual_harm) AS harmed, round(count(*) FILTER (actual_harm) / count(*), 6) AS rate FROM source_records GROUP BY 1, 2""")
+_ROLE_WORDS = {"developer": "developer|maker|built by", "operator": "operator|deployed|staff", "user": "user|customer|passenger", "bystander": "bystander|pedestrian|child|neighbour"}
+
+
+@R.query("WITH t AS (SELECT source, actual_harm, lower(concat_ws(' ', incident_title, risk_description)) AS t FROM source_records), r AS (" + " UNION ALL ".join(f"SELECT '{r}' AS role, source, actual_harm FROM t WHERE regexp_matches(t, '{p}')" for r, p in _ROLE_WORDS.items()) + ") SELECT role, source, count(*) AS n, count(*) FILTER (actual_harm) AS harmed, round(count(*) FILTER (actual_harm) / count(*), 6) AS rate FROM r GROUP BY 1, 2")
 def actor_counts(spark: SparkSession, root: str) -> DataFrame:
-    given = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
-    g = table(spark, root, "source_records").groupBy(given("developer").alias("has_developer"), given("deployer").alias("has_deployer")).agg(F.count("*").alias("n"), F.count_if(F.coalesce("actual_harm", F.lit(False))).alias("harmed"))
+    """Deliveries of each source that mention each role, and how many of them report harm."""
+    t = F.lower(F.concat_ws(" ", "incident_title", "risk_description"))
+    roles = F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(r)) for r, p in _ROLE_WORDS.items()]))
+    g = table(spark, root, "source_records").select("source", "actual_harm", F.explode(roles).alias("role")).groupBy("role", "source").agg(F.count("*").alias("n"), F.count_if(F.coalesce("actual_harm", F.lit(False))).alias("harmed"))
     return g.withColumn("rate", F.round(F.col("harmed") / F.col("n"), 6))
 
 
@@ -78,25 +101,31 @@ def lexical_contrast(spark: SparkSession, root: str) -> DataFrame:
 
 
 @R.query("""WITH o AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS i FROM (SELECT DISTINCT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey)), n AS (SELECT count(*) AS n FROM o),
-d AS (SELECT rep, CAST('0x' || substr(md5('5|' || rep || '|' || i), 1, 12) AS BIGINT) % n AS k FROM o, n, (SELECT unnest(range(1, 11)) AS rep)), h AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey),
+d AS (SELECT rep, CAST('0x' || substr(md5('5|' || rep || '|' || i), 1, 12) AS BIGINT) % n AS k FROM o, n, (SELECT unnest(range(1, 301)) AS rep)), h AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey),
 c AS (SELECT rep, p_brand, count(*) AS n FROM d JOIN o ON o.i = d.k JOIN h ON h.l_orderkey = o.l_orderkey GROUP BY 1, 2), r AS (SELECT p_brand, rank() OVER (PARTITION BY rep ORDER BY n DESC) AS r FROM c)
-SELECT p_brand, CAST(min(r) AS INTEGER) AS best, CAST(max(r) AS INTEGER) AS worst, round(avg(r), 6) AS mean FROM r GROUP BY p_brand""")
+SELECT p_brand, CAST(min(r) AS INTEGER) AS best, CAST(max(r) AS INTEGER) AS worst, round(avg(r), 6) AS mean, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM r GROUP BY p_brand""")
 def bootstrap_rank_intervals(spark: SparkSession, root: str) -> DataFrame:
+    """Intervals of the brands' ranks by number of orders over 300 resamples of orders."""
     h = checkpointed(nw.held(spark, root).distinct())
-    orders = h.select("l_orderkey").distinct().withColumn("i", F.row_number().over(Window.orderBy("l_orderkey")).cast("long") - 1)
-    orders = checkpointed(orders)
+    orders = numbering.numbered(h.select("l_orderkey").distinct(), ["l_orderkey"], "i").withColumn("i", F.col("i") - 1)
+    orders = checkpointed(orders.join(h.groupBy("l_orderkey").agg(F.collect_list("p_brand").alias("brands")), "l_orderkey").select("i", "brands"))
     n = orders.agg(F.count("*").alias("n"))
-    drawn = stats.replicated(orders.select("i").join(n), 10).select("rep", stats.hash_index(5, F.col("n"), F.col("rep"), F.col("i")).alias("i"))
-    counts = drawn.join(orders, "i").join(h, "l_orderkey").groupBy("rep", "p_brand").agg(F.count("*").alias("n"))
+    # How often each order is drawn, summed before the brands are looked up.
+    drawn = stats.replicated(orders.select("i").join(n), 300).select("rep", stats.hash_index(5, F.col("n"), F.col("rep"), F.col("i")).alias("i")).groupBy("i", "rep").agg(F.count("*").alias("times"))
+    counts = drawn.join(orders, "i").select("rep", "times", F.explode("brands").alias("p_brand")).groupBy("rep", "p_brand").agg(F.sum("times").alias("n"))
     ranked = counts.withColumn("r", F.rank().over(Window.partitionBy("rep").orderBy(F.desc("n"))))
-    return ranked.groupBy("p_brand").agg(F.min("r").alias("best"), F.max("r").alias("worst"), F.round(F.avg("r"), 6).alias("mean"))
+    cut = F.percentile("r", F.array(F.lit(0.025), F.lit(0.975)))
+    out = ranked.groupBy("p_brand").agg(F.min("r").alias("best"), F.max("r").alias("worst"), F.round(F.avg("r"), 6).alias("mean"), cut.alias("q"))
+    return out.select("p_brand", "best", "worst", "mean", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
 
 
-@R.query()
+@R.query(f"""WITH {nw.CENTRES_SQL}, {nw.BASE}, w AS (SELECT q.label = q.category AS a, k.la = k.lb AS b FROM q JOIN k ON k.query = q.vec_id AND k.rank = 1 WHERE q.place = 1),
+o AS (SELECT count(*) FILTER (a AND NOT b) AS only_first, count(*) FILTER (b AND NOT a) AS only_second FROM w), i AS (SELECT unnest(range(0, (SELECT least(only_first, only_second) + 1 FROM o))) AS i)
+SELECT any_value(only_first) AS only_first, any_value(only_second) AS only_second, round(least(1.0, 2 * sum(exp(lgamma(only_first + only_second + 1) - lgamma(i + 1) - lgamma(only_first + only_second - i + 1) - (only_first + only_second) * ln(2)))), 6) AS p FROM o, i""")
 def mcnemar_test(spark: SparkSession, root: str) -> DataFrame:
     r = nw.paired_scorers(spark, root).first()
     p = models.mcnemar_exact(r["only_first"], r["only_second"])
-    return spark.createDataFrame([(r["only_first"], r["only_second"], p)], "only_first long, only_second long, p double")
+    return spark.createDataFrame([(r["only_first"], r["only_second"], round(p, 6))], "only_first long, only_second long, p double")
 
 
 @R.query()

@@ -14,7 +14,7 @@ from taxoflow.sources import table
 R = Registry()
 DOMAIN_SQL = "CASE WHEN label < 6 THEN 'G' WHEN label < 8 THEN 'A' ELSE 'P' END"
 NEAR, LEAST, LINKS = 8, 0.25, 5
-THRESHOLDS = [0.2, 0.25, 0.3, 0.35, 0.4]
+THRESHOLDS = [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]
 BASE = f"""v AS (SELECT vec_id, label, {DOMAIN_SQL} AS domain, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 s AS (SELECT a.vec_id AS query, b.vec_id AS item, a.label AS la, b.label AS lb, a.domain AS da, b.domain AS db, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.vec_id <> b.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, item) AS rank FROM s),
@@ -94,15 +94,32 @@ def knn_graph_hub_ranking(spark: SparkSession, root: str) -> DataFrame:
     return numbering.numbered(out, [F.desc("degree"), F.desc("strength"), "node"], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
-@R.query(f"""WITH {BASE}, t AS (SELECT unnest({THRESHOLDS}) AS threshold), x AS (SELECT DISTINCT t.threshold, least(query, item) AS src, greatest(query, item) AS dst FROM k, t WHERE rank <= {NEAR} AND similarity >= t.threshold),
-n AS (SELECT threshold, count(*) AS edges FROM x GROUP BY 1), i AS (SELECT threshold, count(*) AS touched FROM (SELECT threshold, src FROM x UNION SELECT threshold, dst FROM x) GROUP BY 1)
-SELECT t.threshold, coalesce(edges, 0) AS edges, (SELECT count(*) FROM v) - coalesce(touched, 0) AS isolates FROM t LEFT JOIN n USING (threshold) LEFT JOIN i USING (threshold)""")
+@R.query(f"""WITH RECURSIVE {BASE}, t AS (SELECT unnest({THRESHOLDS}) AS threshold), x AS (SELECT DISTINCT t.threshold, least(query, item) AS src, greatest(query, item) AS dst FROM k, t WHERE rank <= {NEAR} AND similarity >= t.threshold),
+y AS (SELECT threshold, src AS a, dst AS b FROM x UNION SELECT threshold, dst, src FROM x UNION SELECT threshold, vec_id, vec_id FROM v, t), c AS (SELECT threshold, a AS node, b AS seen FROM y UNION SELECT c.threshold, c.node, y.b FROM c JOIN y ON y.a = c.seen AND y.threshold = c.threshold),
+p AS (SELECT threshold, node, min(seen) AS component FROM c GROUP BY 1, 2), z AS (SELECT p.threshold, label, component, count(*) AS n FROM p JOIN v ON vec_id = node GROUP BY 1, 2, 3),
+q AS (SELECT threshold, sum(n * (n - 1) / 2.0) AS both_, sum(n) * (sum(n) - 1) / 2.0 AS pairs, count(DISTINCT component) AS components FROM z GROUP BY 1), ra AS (SELECT threshold, sum(m * (m - 1) / 2.0) AS a FROM (SELECT threshold, label, sum(n) AS m FROM z GROUP BY 1, 2) GROUP BY 1),
+rb AS (SELECT threshold, sum(m * (m - 1) / 2.0) AS b, count(*) FILTER (m = 1) AS isolates FROM (SELECT threshold, component, sum(n) AS m FROM z GROUP BY 1, 2) GROUP BY 1), n AS (SELECT threshold, count(*) AS edges FROM x GROUP BY 1)
+SELECT q.threshold, coalesce(edges, 0) AS edges, isolates, components, round((both_ - a * b / pairs) / ((a + b) / 2 - a * b / pairs), 6) AS ari FROM q JOIN ra USING (threshold) JOIN rb USING (threshold) LEFT JOIN n USING (threshold)""")
 def threshold_sweep(spark: SparkSession, root: str) -> DataFrame:
-    e = similarity.union_edges(neighbours(spark, root, None)).withColumn("threshold", F.explode(F.filter(F.array(*[F.lit(t) for t in THRESHOLDS]), lambda t: t <= F.col("weight"))))
-    touched = e.select("threshold", F.explode(F.array("src", "dst")).alias("node")).groupBy("threshold").agg(F.count_distinct("node").alias("touched"))
-    steps = spark.createDataFrame([(t,) for t in THRESHOLDS], "threshold double")
-    out = steps.join(e.groupBy("threshold").agg(F.count("*").alias("edges")), "threshold", "left").join(touched, "threshold", "left").join(nodes(spark, root).agg(F.count("*").alias("n")))
-    return out.select("threshold", F.coalesce("edges", F.lit(0)).alias("edges"), (F.col("n") - F.coalesce("touched", F.lit(0))).alias("isolates"))
+    """Edges, isolated nodes, components and their agreement with the labels, by least similarity.
+
+    The graphs of all thresholds are one: a node of each is numbered by threshold and node.
+    """
+    e = checkpointed(similarity.union_edges(neighbours(spark, root, None)).withColumn("step", F.explode(F.filter(F.transform(F.array(*[F.lit(t) for t in THRESHOLDS]), lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda s: s["t"] <= F.col("weight")))))
+    step = lambda c: F.struct(F.col("step.i").alias("i"), F.col(c).alias("node"))
+    found = connected_components(e.select(step("src").alias("src"), step("dst").alias("dst")))
+    every = vectors(spark, root).select("vec_id", "label", F.explode(F.array(*[F.lit(i) for i in range(len(THRESHOLDS))])).alias("i"))
+    rows = every.join(found.select("node.i", F.col("node.node").alias("vec_id"), F.col("component.node").alias("component")), ["i", "vec_id"], "left")
+    rows = rows.select("i", "label", F.coalesce("component", "vec_id").alias("component"))
+    half = lambda c: F.col(c) * (F.col(c) - 1) / 2.0
+    cells = checkpointed(rows.groupBy("i", "label", "component").agg(F.count("*").alias("n")))
+    q = cells.groupBy("i").agg(F.sum(half("n")).alias("both"), F.sum("n").alias("n"))
+    a = cells.groupBy("i", "label").agg(F.sum("n").alias("m")).groupBy("i").agg(F.sum(half("m")).alias("a"))
+    b = cells.groupBy("i", "component").agg(F.sum("n").alias("m")).groupBy("i").agg(F.sum(half("m")).alias("b"), F.count_if(F.col("m") == 1).alias("isolates"), F.count("*").alias("components"))
+    counted = e.groupBy(F.col("step.i").alias("i")).agg(F.count("*").alias("edges"))
+    chance = F.col("a") * F.col("b") / half("n")
+    ari = F.try_divide(F.col("both") - chance, (F.col("a") + F.col("b")) / 2 - chance)
+    return q.join(a, "i").join(b, "i").join(counted, "i", "left").select(F.array(*[F.lit(t) for t in THRESHOLDS])[F.col("i")].alias("threshold"), F.coalesce("edges", F.lit(0)).alias("edges"), "isolates", "components", F.round(ari, 6).alias("ari"))
 
 
 BRANDS_SQL = """h AS (SELECT DISTINCT l_orderkey AS o, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -351,6 +368,8 @@ def name_neighbour_edges(spark: SparkSession, root: str) -> DataFrame:
     return links.select(F.least("l4_id", "other").alias("src"), F.greatest("l4_id", "other").alias("dst"), F.col("score").alias("weight")).distinct()
 
 
+#: Least similarity of a candidate; the records of the tables are less alike than those it is 0.55 for.
+MATCH = 0.3
 _LATEST_SQL = "SELECT * FROM source_records QUALIFY row_number() OVER (PARTITION BY record_uid ORDER BY source_snapshot DESC NULLS LAST, incident_title ASC NULLS LAST, risk_description ASC NULLS LAST, ai_system ASC NULLS LAST) = 1"
 _STORY_SQL = f"""d AS (SELECT record_uid, source, event_year, regexp_matches(coalesce(canonical_aiid_id, ''), '[0-9]') AS linked, {_grams_sql("regexp_extract_all(lower(coalesce(incident_title, '') || ' ' || coalesce(risk_description, '')), '[a-z0-9_]{2,}')")} AS w FROM ({_LATEST_SQL}) WHERE source IN ('AIID', 'OECD AIM')),
 x AS (SELECT record_uid, term, count(*) AS tf FROM d, unnest(w) AS u(term) GROUP BY 1, 2), y AS (SELECT term, count(*) AS df FROM x GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 80000),
@@ -375,12 +394,12 @@ def story_features(spark: SparkSession, root: str) -> DataFrame:
 
 @R.query(f"""WITH {_STORY_SQL}, s AS (SELECT a.record_uid, b.record_uid AS other, round(sum(a.weight * b.weight), 6) AS score FROM t a JOIN d p ON p.record_uid = a.record_uid AND p.source = 'OECD AIM' JOIN t b ON a.term = b.term JOIN d q ON q.record_uid = b.record_uid AND q.source = 'AIID' GROUP BY 1, 2),
 f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY record_uid ORDER BY score DESC, other) = 1)
-SELECT f.record_uid, other, score, abs(p.event_year - q.event_year) AS years FROM f JOIN d p ON p.record_uid = f.record_uid JOIN d q ON q.record_uid = f.other WHERE NOT p.linked AND score >= 0.55 AND (abs(p.event_year - q.event_year) IS NULL OR abs(p.event_year - q.event_year) <= 1)""")
+SELECT f.record_uid, other, score, abs(p.event_year - q.event_year) AS years FROM f JOIN d p ON p.record_uid = f.record_uid JOIN d q ON q.record_uid = f.other WHERE NOT p.linked AND score >= {MATCH} AND (abs(p.event_year - q.event_year) IS NULL OR abs(p.event_year - q.event_year) <= 1)""")
 def record_match_candidates(spark: SparkSession, root: str) -> DataFrame:
     """For monitor records that name no incident the best match in the database, if good enough and not over a year apart."""
     rows, t = story_weights(spark, root)
     of = lambda s: t.join(rows.where(F.col("source") == s).select("record_uid"), "record_uid", "left_semi")
-    best = matching.best_match(matching.cosine_pairs(of("OECD AIM"), of("AIID"), "record_uid", 0.55), "record_uid")
+    best = matching.best_match(matching.cosine_pairs(of("OECD AIM"), of("AIID"), "record_uid", MATCH), "record_uid")
     asked = rows.where("NOT linked").select("record_uid", "event_year")
     both = best.join(asked, "record_uid").join(rows.select(F.col("record_uid").alias("other"), F.col("event_year").alias("other_year")), "other")
     both = both.withColumn("years", F.abs(F.col("event_year") - F.col("other_year")))
