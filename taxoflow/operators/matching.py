@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxoflow.session import checkpointed
 
+#: Rows of one block, and groups that terms are hashed into for the bound.
+BLOCK, GROUPS = 2048, 512
+
 
 def grams(words: Column, stop: list[str]) -> Column:
     """Words that are no stop words, and their pairs of neighbours joined by a blank."""
@@ -33,25 +40,61 @@ def weights(df: DataFrame, id_: str, words: Column, most: float = 1.0, least: in
     return raw.join(length, id_).select(id_, "term", (F.col("w") / F.col("length")).alias("weight"), "df")
 
 
+def _packed(w: DataFrame, id_: str, blocks: int, name: str) -> DataFrame:
+    """Rows of weights by block: ids, and hashes and weights of their terms."""
+    rows = w.groupBy(F.col(id_).alias("id")).agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("weight").alias("w"))).alias("x"))
+    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(f"{name}b")).agg(F.collect_list(F.struct("id", "x")).alias(name))
+
+
 def cosine_pairs(left: DataFrame, right: DataFrame, id_: str, least: float) -> DataFrame:
     """(id, ``other``, ``score``) of all pairs of a left and a right row whose cosine, rounded to 6 decimals, is ``least`` or more.
 
-    Rows have ``weights``. In one order of terms, rare ones first, the first term that two rows share lies before the
-    place from which on either row's length is below ``least``: what is shared after it could not reach it. So only
-    these leading terms are joined; the candidates are compared by all terms. A term's rows meet in the tasks of that
-    term alone if it leads in rows of both sides, which frequent terms seldom do.
+    Rows have ``weights``. Every block of left rows meets every block of right rows once. Within a pair of blocks the
+    terms are hashed into ``GROUPS``; two rows' cosine is at most the product of their lengths summed over the groups,
+    which one matrix product gives for all pairs; those for which it reaches ``least`` are compared term by term.
+    So the result is exact, and a pair of rows costs ``GROUPS`` multiplications. Terms are told apart by 64-bit hashes.
     """
-    rest = Window.partitionBy(id_).orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-
-    def leading(w: DataFrame) -> DataFrame:
-        return w.withColumn("__rest", F.sum(F.col("weight") * F.col("weight")).over(rest)).where(F.col("__rest") >= (least - 1e-5) ** 2).select(id_, "term")
-
-    pairs = leading(left).join(leading(right).withColumnRenamed(id_, "other"), "term").where(F.col(id_) != F.col("other")).select(id_, "other").distinct()
-    listed = lambda w, i, name: w.groupBy(F.col(id_).alias(i)).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias(name))
-    both = pairs.join(listed(left, id_, "__a"), id_).join(listed(right, "other", "__b"), "other")
-    entries = F.array_sort(F.map_entries("__a"))
-    dot = F.aggregate(entries, F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("__b"), e["key"]), F.lit(0.0)))
-    return both.select(id_, "other", F.round(dot, 6).alias("score")).where(F.col("score") >= least)
+    kind = left.schema[id_].dataType.simpleString()
+    same = left is right
+    n = max(1, -(-right.select(id_).distinct().count() // BLOCK))
+    m = n if same else max(1, -(-left.select(id_).distinct().count() // BLOCK))
+    a = _packed(left, id_, m, "l").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = a.join(_packed(right, id_, n, "r"), "rb").repartition(m * n, "lb", "rb").select("l", "r")
+
+    def side(x: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        lists = x.field("x")
+        size = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten()
+        t, w = flat.field("t").to_numpy(), flat.field("w").to_numpy()
+        row = np.repeat(np.arange(len(size)), size)
+        lengths = np.sqrt(np.bincount(row * GROUPS + (t >> 20) % GROUPS, weights=w * w, minlength=len(size) * GROUPS)).reshape(-1, GROUPS).astype(np.float32)
+        return x.field("id"), t, w, row, lengths
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                (ids, t, w, row, u), (others, t2, w2, row2, u2) = side(batch.column("l")[at].values), side(batch.column("r")[at].values)
+                terms, number = np.unique(np.concatenate([t, t2]), return_inverse=True)
+                key = row2 * len(terms) + number[len(t) :]
+                order = np.argsort(key)
+                key, value = key[order], w2[order]
+                start = np.searchsorted(row, np.arange(len(ids) + 1))
+                i, j = np.nonzero(u @ u2.T >= least - 1e-4)
+                for low in range(0, len(i), 20_000):
+                    x, y = i[low : low + 20_000], j[low : low + 20_000]
+                    size = start[x + 1] - start[x]
+                    pair = np.repeat(np.arange(len(x)), size)
+                    term = np.repeat(start[x], size) + np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+                    wanted = y[pair] * len(terms) + number[term]
+                    place = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+                    hit = key[place] == wanted
+                    score = np.round(np.bincount(pair[hit], weights=w[term[hit]] * value[place[hit]], minlength=len(x)), 6)
+                    kept = np.flatnonzero(score >= least)
+                    if len(kept):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[kept])), others.take(pa.array(y[kept])), pa.array(score[kept])], names=["id", "other", "score"])
+
+    found = pairs.mapInArrow(run, f"id {kind}, other {kind}, score double")
+    return found.where("id <> other").withColumnRenamed("id", id_)
 
 
 def best_match(pairs: DataFrame, id_: str) -> DataFrame:
@@ -67,11 +110,6 @@ def leading_components(df: DataFrame, id_: str, vector: str, size: int, dims: in
     One pass sums the vectors and their products, ``size`` squared numbers per task; the driver takes the directions
     from these, and a second pass projects.
     """
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pyarrow as pa
-
     rows = checkpointed(df.where(F.col(id_).isNotNull() & (F.size(vector) == size)).select(F.col(id_).alias("i"), F.col(vector).cast("array<double>").alias("v")))
     kind = rows.schema["i"].dataType.simpleString()
 
