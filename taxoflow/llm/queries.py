@@ -112,7 +112,23 @@ r AS (SELECT c.s AS scope, item_a, item_b, together, x.n AS n_a, y.n AS n_b, t.b
       JOIN t ON t.s IS NOT DISTINCT FROM c.s)
 """
 
+_P2 = """
+WITH RECURSIVE last AS (SELECT record_uid AS u, max_by({'t': incident_title, 'd': risk_description, 's': ai_system}, source_snapshot) AS r FROM source_records WHERE record_uid IS NOT NULL GROUP BY 1),
+w AS (SELECT u, unnest(list_distinct(regexp_extract_all(lower(concat_ws(' ', r.t, r.d, r.s)), '[a-z0-9]+'))) AS w FROM last), n AS (SELECT u, count(*) AS n FROM w GROUP BY u),
+s AS (SELECT a.u AS a, b.u AS b, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.u < b.u GROUP BY 1, 2),
+m AS (SELECT a, b FROM s JOIN n x ON x.u = a JOIN n y ON y.u = b WHERE c >= 0.7 * (x.n + y.n - c) - 1e-9),
+e AS (SELECT a, b FROM m UNION ALL SELECT b, a FROM m), c AS (SELECT a AS node, a AS seen FROM e UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.seen), g AS (SELECT node, min(seen) AS grp FROM c GROUP BY node)
+"""
+
+_P4_VECTORS = """v AS (SELECT ids, list_transform(max(vectors), lambda x: CAST(x AS DOUBLE)) AS v FROM semantic_embeddings
+  WHERE len(vectors) = 96 AND len(list_filter(vectors, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vectors, lambda x: x <> 0)) > 0 GROUP BY ids)"""
+
 ORACLES: dict[str, str] = {
+    "p2_found": _P2 + "SELECT x.node AS uid_a, y.node AS uid_b FROM g x JOIN g y ON x.grp = y.grp AND x.node < y.node",
+    "p2_groups": _P2 + "SELECT node AS record_uid, grp AS \"group\", (SELECT count(*) FROM e WHERE e.a = node) AS links FROM g",
+    "p4_neighbours": f"""
+WITH {_P4_VECTORS}, s AS (SELECT a.ids AS a, b.ids AS b, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM v a JOIN v b ON a.ids <> b.ids AND TRY_CAST(regexp_extract(a.ids, '(\\d+)$', 1) AS BIGINT) % 100 = 0)
+SELECT a AS id, b AS neighbour, c AS cosine, CAST(row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS INTEGER) AS place FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 8""",
     "p1_found": _P1 + "SELECT scope AS taxonomy_snapshot, item_a AS risk_a, item_b AS risk_b FROM r WHERE together >= 8 AND together * baskets >= 4 * n_a * n_b",
     "p1_pairs": _P1
     + """SELECT scope, item_a, item_b, together, n_a, n_b, baskets, round(CAST(together AS DOUBLE) * baskets / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift,
@@ -123,8 +139,7 @@ WITH best AS (SELECT case_id, l4_id, max(cosine_similarity) AS s FROM case_verif
 r AS (SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY s DESC, l4_id) AS INTEGER) AS top_rank, l4_id FROM best)
 SELECT case_id, top_rank, l4_id FROM r WHERE top_rank <= 3""",
     "p4_found": """
-WITH v AS (SELECT ids, list_transform(max(vectors), lambda x: CAST(x AS DOUBLE)) AS v FROM semantic_embeddings
-  WHERE len(vectors) = 96 AND len(list_filter(vectors, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vectors, lambda x: x <> 0)) > 0 GROUP BY ids),
+WITH """ + _P4_VECTORS + """,
 s AS (SELECT a.ids AS a, b.ids AS b, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM v a JOIN v b ON a.ids <> b.ids),
 r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE k <= 8 AND c >= 0.85""",

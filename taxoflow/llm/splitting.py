@@ -104,10 +104,21 @@ def split_long(df: DataFrame, key: str, text: str, limit: int = 512, overlap: in
     end = f"runs[int((i - 1) div {RUN})][int((i - 1) % {RUN}) + 1] + before[int((i - 1) div {RUN})]"
     last = end.replace("i - 1", "i - 2")
     spans = F.expr(f"transform(sequence(1, size(sizes)), i -> struct(i - 1 AS piece, IF(i = 1, 0, greatest(0, {last} - {overlap})) AS s, {end} AS e))")
-    rows = rows.withColumn("spans", spans)
-    # Every piece takes its own bytes only; where they begin is looked up, not counted.
-    pieces = F.expr(
-        "transform(spans, x -> struct(x.piece AS piece, x.s AS start_token, x.e AS end_token, x.e - x.s AS tokens, IF(x.s = 0, 0, chars[x.s - 1]) AS start_char, chars[x.e - 1] AS end_char, "
-        "CAST(substring(data, IF(x.s = 0, 0, bytes[x.s - 1]) + 1, bytes[x.e - 1] - IF(x.s = 0, 0, bytes[x.s - 1])) AS STRING) AS text))"
-    )
-    return rows.select(F.col("k").alias(key), F.inline(pieces))
+    rows = rows.select("k", "data", "bytes", "chars", spans.alias("spans"))
+    where = "transform(spans, x -> struct(x.piece AS piece, x.s AS start_token, x.e AS end_token, x.e - x.s AS tokens, IF(x.s = 0, 0, chars[x.s - 1]) AS start_char, chars[x.e - 1] AS end_char, IF(x.s = 0, 0, bytes[x.s - 1]) AS low, bytes[x.e - 1] AS high))"
+    rows = rows.select("k", "data", F.expr(where).alias("pieces"))
+
+    def cut(data: pa.Array, pieces: pa.Array) -> pa.Array:
+        flat = pieces.flatten()
+        low, high, ends = flat.field("low").to_numpy(), flat.field("high").to_numpy(), pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        texts = []
+        for i, (first, last) in enumerate(zip(ends[:-1], ends[1:])):
+            whole = memoryview(data[i].as_buffer())
+            texts += [whole[x:y].tobytes() for x, y in zip(low[first:last], high[first:last])]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string()))
+
+    # Every piece takes its own bytes only. An expression would copy the whole text for each of them.
+    texts = F.arrow_udf(cut, "array<string>").asNondeterministic()("data", "pieces")
+    rows = rows.select("k", "pieces", texts.alias("texts"))
+    out = rows.select("k", F.inline(F.zip_with("pieces", "texts", lambda x, t: F.struct(*[x[c].alias(c) for c in ("piece", "start_token", "end_token", "tokens", "start_char", "end_char")], t.alias("text")))))
+    return out.withColumnRenamed("k", key)
