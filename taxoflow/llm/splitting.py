@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxoflow.llm.bpe import DEFAULT_VOCABULARY, Encoder, encoder
 
-#: Pieces whose sizes are summed up in one run.
-RUN = 1000
+#: Pieces whose sizes are summed up in one run, and bytes of a text that may be copied for each piece.
+RUN, COPIED = 1000, 1 << 16
 # Marks of what a token's end is, strongest first; x is inside a character, where nothing is ever cut.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER, INSIDE = (ord(c) for c in "PLSCWKx")
 _SPACE = np.zeros(256, dtype=bool)
@@ -113,12 +114,18 @@ def split_long(df: DataFrame, key: str, text: str, limit: int = 512, overlap: in
         low, high, ends = flat.field("low").to_numpy(), flat.field("high").to_numpy(), pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         texts = []
         for i, (first, last) in enumerate(zip(ends[:-1], ends[1:])):
-            whole = memoryview(data[i].as_buffer())
-            texts += [whole[x:y].tobytes() for x, y in zip(low[first:last], high[first:last])]
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string()))
-
-    # Every piece takes its own bytes only. An expression would copy the whole text for each of them.
-    texts = F.arrow_udf(cut, "array<string>").asNondeterministic()("data", "pieces")
+            if last > first:
+                whole = memoryview(data[i].as_buffer())
+                texts += [whole[x:y].tobytes() for x, y in zip(low[first:last], high[first:last])]
+        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string()))
+        return pc.if_else(pieces.is_valid(), found, pa.scalar(None, found.type))
+
+    # Every piece takes its own bytes only. An expression copies the whole text for each of them, so it cuts texts of at
+    # most COPIED bytes, whose copies are as good as free; longer ones are cut in one go.
+    long_ = F.octet_length("data") > COPIED
+    cuts = F.arrow_udf(cut, "array<string>").asNondeterministic()(F.when(long_, F.col("data")), F.when(long_, F.col("pieces")))
+    rows = rows.withColumn("cuts", cuts)
+    texts = F.coalesce("cuts", F.transform("pieces", lambda x: F.substring(F.col("data"), x["low"] + 1, x["high"] - x["low"]).cast("string")))
     rows = rows.select("k", "pieces", texts.alias("texts"))
     out = rows.select("k", F.inline(F.zip_with("pieces", "texts", lambda x, t: F.struct(*[x[c].alias(c) for c in ("piece", "start_token", "end_token", "tokens", "start_char", "end_char")], t.alias("text")))))
     return out.withColumnRenamed("k", key)

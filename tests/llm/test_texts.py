@@ -91,12 +91,16 @@ def test_program_beats_nothing_and_covers():
     assert max(fill) <= 10 and sum(fill) == sum(k * v for k, v in histogram.items())
 
 
-def test_pieces(spark, reference):
+def test_pieces(spark, monkeypatch, reference):
     texts = odd_texts()[:50] + ["One sentence here. " * 400, "p1 words, more words\n\n" * 300, "가나다라마바사 " * 400, "z" * 9000, "한" * 3000, "🙂" * 700, "word " * 512, None, ""]
     df = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in enumerate(texts)], "doc long, text string, t string, piece int, marks string")
     by = {}
     for r in splitting.split_long(df, "doc", "text", 64, 8, PATH).collect():
         by.setdefault(r.doc, []).append(r)
+    monkeypatch.setattr(splitting, "COPIED", 4000)
+    monkeypatch.setattr(splitting, "RUN", 3)
+    again = splitting.split_long(df, "doc", "text", 64, 8, PATH).collect()
+    assert sorted(map(tuple, again)) == sorted(tuple(r) for rows in by.values() for r in rows)
     for i, t in enumerate(texts):
         n = len(reference.encode_ordinary(t or ""))
         assert (i in by) == (n > 64)
@@ -181,3 +185,14 @@ def test_votes_learn_who_is_reliable(spark):
 def test_latest_takes_one_row(spark):
     df = spark.createDataFrame([("a", "1", "x"), ("a", "2", None), ("a", "2", "z"), (None, "3", "q")], "k string, v string, t string")
     assert [tuple(r) for r in truth.latest(df, "k", "v", ["t"]).collect()] == [("a", "z")]
+
+
+def test_natural_places_in_full_width_and_before_a_long_run(spark):
+    wide = "이 카드는 위험을 설명한다。 " * 40 + "사건 보고서가 접수되었다！검토가 끝났다？" * 60
+    run = "words before the run. " * 8 + "z" * 4000
+    df = spark.createDataFrame([(1, wide), (2, run)], "doc long, text string")
+    pieces = {}
+    for r in splitting.split_long(df, "doc", "text", 128, 16, PATH).orderBy("doc", "piece").collect():
+        pieces.setdefault(r.doc, []).append(r)
+    assert sum(p.text.rstrip().endswith(("。", "！", "？")) for p in pieces[1][:-1]) >= 0.9 * (len(pieces[1]) - 1)
+    assert pieces[2][0].text.rstrip().endswith(".") and pieces[2][0].tokens < 64
