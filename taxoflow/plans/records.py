@@ -315,9 +315,9 @@ def rule_engine_membership(spark: SparkSession, root: str) -> DataFrame:
     return _members(spark, root)
 
 
-@R.query(f"WITH m AS ({_RULES_SQL}) SELECT l4_id FROM heart_l4_risk_cards WHERE l4_id IN (SELECT l4_id FROM m WHERE rule = 'robots') AND l4_id IN (SELECT l4_id FROM m WHERE rule = 'leaks')")
+@R.query(f"WITH m AS ({_RULES_SQL}) SELECT l4_id FROM heart_l4_risk_cards WHERE l4_id IN (SELECT l4_id FROM m WHERE rule = 'robots') AND l4_id IN (SELECT l4_id FROM m WHERE rule = 'physical')")
 def lens_intersection(spark: SparkSession, root: str) -> DataFrame:
-    return rules.within_lenses(table(spark, root, "heart_l4_risk_cards").select("l4_id"), "l4_id", _members(spark, root), ["robots", "", "leaks"])
+    return rules.within_lenses(table(spark, root, "heart_l4_risk_cards").select("l4_id"), "l4_id", _members(spark, root), ["robots", "", "physical"])
 
 
 @R.query("""SELECT l4_id, l4_name_en FROM heart_l4_risk_cards WHERE l1_id = 'L1_G' AND contains(lower(concat_ws(' ', l4_id, l4_name_en, l4_name_ko, risk_definition_en, risk_definition_ko, l3_name_en, facet, act_type)), 'agent') ORDER BY l4_id LIMIT 48 OFFSET 0""")

@@ -54,3 +54,59 @@ def test_confusion_without_rows_of_a_class(spark):
     df = spark.createDataFrame([(True, True)], "t boolean, g boolean")
     r = stats.confusion(df, F.col("t"), F.col("g")).first()
     assert (r.tp, r.accuracy, r.mcc) == (1, 1.0, None)
+
+
+def test_lists_in_single_quotes_keep_quotes_inside(spark):
+    from taxoflow.functions import text as tx
+
+    cases = {"['4', '5']": ["4", "5"], '["a", "b"]': ["a", "b"], "['it\u0027s', 'x']": ["it's", "x"], "7": ["7"], "nan": [], "": [], "[1, 2]": ["1", "2"], "[]": []}
+    df = spark.createDataFrame([(k,) for k in cases], "x string")
+    assert {r.x: r.n for r in df.select("x", tx.list_of(df.x).alias("n")).collect()} == cases
+
+
+def test_status_classes_and_unknown_ranges(spark):
+    from taxoflow.operators import quality, rules
+
+    df = spark.createDataFrame([(200,), (399,), (403,), (429,), (404,), (500,), (None,)], "s int")
+    assert [r[0] for r in df.select(quality.status_class(df.s)).collect()] == ["reachable", "reachable", "access_controlled", "access_controlled", "http_error", "http_error", "network_error"]
+    assert [r[0] for r in df.select(rules.within_or_unknown(df.s, 399)).collect()] == [True, True, False, False, False, False, True]
+
+
+def test_text_matches_against_brute_force(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from taxoflow.operators import matching
+
+    rng = random.Random(2)
+    texts = {i: [f"w{rng.randrange(40)}" for _ in range(rng.randrange(0, 12))] for i in range(60)}
+    texts |= {100 + i: texts[i] + ["extra"] for i in range(20)}
+    df = spark.createDataFrame([(i, w) for i, w in texts.items()] + [(None, ["w1"])], "id long, w array<string>").where("id IS NOT NULL")
+    t = matching.weights(df, "id", matching.grams(F.col("w"), ["w3"]))
+    got = {(r.id, r.other): r.score for r in matching.cosine_pairs(t, t, "id", 0.4).collect()}
+    bags = {}
+    for i, w in texts.items():
+        kept = [x for x in w if x != "w3"]
+        bags[i] = Counter(kept + [f"{a} {b}" for a, b in zip(kept, kept[1:])])
+    n, spread = len(texts), Counter(x for b in bags.values() for x in b)
+    raw = {i: {x: (1 + math.log(k)) * (1 + math.log((1 + n) / (1 + spread[x]))) for x, k in b.items()} for i, b in bags.items()}
+    unit = {i: {x: v / math.sqrt(sum(u * u for u in r.values())) for x, v in r.items()} for i, r in raw.items()}
+    score = {(a, b): sum(v * unit[b].get(x, 0) for x, v in unit[a].items()) for a in unit for b in unit if a != b}
+    expected = {p: s for p, s in score.items() if round(s, 6) >= 0.4}
+    assert got.keys() == expected.keys() and all(abs(got[p] - expected[p]) < 2e-6 for p in got)
+
+
+def test_leading_components_against_numpy(spark):
+    import numpy as np
+
+    from taxoflow.operators import matching
+
+    x = np.random.default_rng(3).normal(size=(50, 6)) * np.array([5, 4, 3, 2, 1, 0.5])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [0.0] * 6), (99, None), (98, [1.0])], "id long, v array<double>").repartition(5)
+    got = np.array([r.latent for r in matching.leading_components(df, "id", "v", 6, 3).orderBy("id").collect()])
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :3] * s[:3]))
+    assert all(got[np.abs(got[:, d]).argmax(), d] > 0 for d in range(3))
