@@ -91,6 +91,11 @@ def shortened(x: Column, n: int) -> Column:
     return F.when(F.length(x) > n, F.concat(F.rtrim(F.substring(x, 1, n - 1)), F.lit("…"))).otherwise(x)
 
 
+def wrapped(x: Column, width: int) -> Column:
+    """Lines of at most so many characters, broken at blanks; a longer word stays whole."""
+    return F.regexp_replace(F.regexp_replace(x, f"(.{{1,{width}}})( +|$)", "$1\n"), "\n+$", "")
+
+
 def domain_label(x: Column) -> Column:
     """Label without its number; labels of excluded entries get one name."""
     return F.when(F.trim(x).startswith("X."), F.lit("Uncoded or excluded")).otherwise(F.regexp_replace(F.trim(x), r"^[^.]*\.\s*", ""))

@@ -179,6 +179,39 @@ def annual_slice_networks(spark: SparkSession, root: str) -> DataFrame:
     return counts.select("year", "src", "dst", "together", F.round(F.col("together") * 1000.0 / F.col("n"), 6).alias("per_1000"))
 
 
+@R.query("""WITH h AS (SELECT DISTINCT year(o_orderdate) AS y, l_orderkey AS o, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey),
+p AS (SELECT a.y, a.i AS src, b.i AS dst, count(*) AS w FROM h a JOIN h b ON a.o = b.o AND a.i < b.i GROUP BY 1, 2, 3), b AS (SELECT y, src AS node, dst AS other, w FROM p UNION ALL SELECT y, dst, src, w FROM p),
+g AS (SELECT y, node, count(*) AS degree, CAST(sum(w) AS BIGINT) AS strength FROM b GROUP BY 1, 2), n AS (SELECT y, count(*) AS nodes FROM g GROUP BY 1)
+SELECT g.y AS year, node, degree, strength, round(degree / (nodes - 1), 6) AS centrality, CAST(row_number() OVER (PARTITION BY g.y ORDER BY strength DESC, node) AS INTEGER) AS rank FROM g JOIN n ON n.y = g.y QUALIFY row_number() OVER (PARTITION BY g.y ORDER BY strength DESC, node) <= 10""")
+def annual_centralities(spark: SparkSession, root: str) -> DataFrame:
+    """The ten strongest brands of every year's network, with degree centrality d / (n - 1)."""
+    years = table(spark, root, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").cast("long").alias("year"))
+    h = checkpointed(held(spark, root).join(years, "l_orderkey").distinct())
+    pairs = h.select("year", "l_orderkey", F.col("p_brand").alias("node")).join(h.select("l_orderkey", F.col("p_brand").alias("other")), "l_orderkey").where("node <> other")
+    g = pairs.groupBy("year", "node", "other").agg(F.count("*").alias("w")).groupBy("year", "node").agg(F.count("*").alias("degree"), F.sum("w").alias("strength"))
+    n = g.groupBy("year").agg(F.count("*").alias("nodes"))
+    place = Window.partitionBy("year").orderBy(F.desc("strength"), "node")
+    out = g.join(n, "year").select("year", "node", "degree", "strength", F.round(F.try_divide(F.col("degree"), F.col("nodes") - 1), 6).alias("centrality"))
+    return out.withColumn("rank", F.row_number().over(place)).where("rank <= 10")
+
+
+@R.query(f"""WITH {BASE}, size AS (SELECT count(*) FILTER (domain = 'P') AS n FROM v), r AS (SELECT unnest(range(1, 51)) AS rep),
+kept AS (SELECT rep, vec_id FROM v, r WHERE domain <> 'G' UNION ALL SELECT rep, vec_id FROM (SELECT rep, vec_id, row_number() OVER (PARTITION BY rep ORDER BY md5('31|' || rep || '|' || vec_id), vec_id) AS j FROM v, r WHERE domain = 'G'), size WHERE j <= n),
+x AS (SELECT rep, query, count(DISTINCT db) > 1 AS c FROM l JOIN kept ON kept.vec_id = l.item GROUP BY 1, 2), t AS (SELECT rep, avg(CAST(c AS INTEGER)) AS rate FROM x GROUP BY rep)
+SELECT count(*) AS repetitions, round(avg(rate), 6) AS mean, round(min(rate), 6) AS least, round(max(rate), 6) AS most FROM t""")
+def domain_rarefaction(spark: SparkSession, root: str) -> DataFrame:
+    """Share of queries whose links cross domains when the general items are thinned to as many as the physical ones."""
+    v = nodes(spark, root)
+    size = v.agg(F.count_if(F.col("domain") == "P").alias("n"))
+    drawn = stats.replicated(v.where("domain = 'G'"), 50)
+    order = Window.partitionBy("rep").orderBy(stats.keyed(31, F.col("rep"), F.col("node")), "node")
+    thinned = drawn.withColumn("j", F.row_number().over(order)).join(size).where("j <= n").select("rep", F.col("node").alias("item"))
+    kept = stats.replicated(v.where("domain <> 'G'").select(F.col("node").alias("item")), 50).select("rep", "item").unionByName(thinned)
+    crossing = linked_domains(spark, root).join(kept, "item").groupBy("rep", "query").agg((F.count_distinct("domain") > 1).alias("c"))
+    rates = crossing.groupBy("rep").agg(F.avg(F.col("c").cast("int")).alias("rate"))
+    return rates.agg(F.count("*").alias("repetitions"), F.round(F.avg("rate"), 6).alias("mean"), F.round(F.min("rate"), 6).alias("least"), F.round(F.max("rate"), 6).alias("most"))
+
+
 @R.query(f"""WITH {BRANDS_SQL}, c AS (SELECT i FROM (SELECT i, row_number() OVER (PARTITION BY substr(i, 7, 1) ORDER BY n DESC, i) AS r FROM n) WHERE r <= 3)
 SELECT src, dst, together AS weight FROM j WHERE src IN (SELECT i FROM c) AND dst IN (SELECT i FROM c) ORDER BY together DESC, src, dst LIMIT 40""")
 def induced_overview_subgraph(spark: SparkSession, root: str) -> DataFrame:

@@ -292,6 +292,13 @@ def ellipsis_truncation(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select("doc_id", tx.shortened(F.col("text"), 120).alias("short"))
 
 
+@R.query("SELECT l4_id, rtrim(regexp_replace(l4_name_en, '(.{1,24})( +|$)', '\\1' || chr(10), 'g'), chr(10)) AS wrapped FROM heart_l4_risk_cards WHERE l4_name_en IS NOT NULL")
+def word_wrap(spark: SparkSession, root: str) -> DataFrame:
+    """Names in lines of at most 24 characters, broken at blanks."""
+    rows = table(spark, root, "heart_l4_risk_cards").where("l4_name_en IS NOT NULL")
+    return rows.select("l4_id", tx.wrapped(F.col("l4_name_en"), 24).alias("wrapped"))
+
+
 RULES = [
     rules.Rule("physical", domain="L1_P"),
     rules.Rule("data", prefixes=["P_DAT", "G_DAT", "A_DAT"]),
