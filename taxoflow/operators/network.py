@@ -94,9 +94,14 @@ def degree_assortativity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(``node``, ``triangles``, ``clustering``) by weight: mean cube root of the products of the scaled weights of its triangles."""
     top = edges.agg(F.max("weight").alias("top"))
-    e = edges.join(top).select("src", "dst", (F.col("weight") / F.col("top")).alias("w"))
-    ab, ac, bc = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("w").alias("w1")), e.select(F.col("src").alias("a"), F.col("dst").alias("c"), F.col("w").alias("w2")), e.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("w").alias("w3"))
+    # Every edge points from the end of lower degree, so that a hub opens no wedges but those among larger hubs.
+    d = both_ways(edges).groupBy("node").agg(F.count("*").alias("d"))
+    end = lambda c: d.select(F.col("node").alias(c), F.struct("d", "node").alias(f"{c}_end"))
+    e = edges.join(end("src"), "src").join(end("dst"), "dst").join(top)
+    e = e.select(F.least("src_end", "dst_end").alias("low"), F.greatest("src_end", "dst_end").alias("high"), (F.col("weight") / F.col("top")).alias("w"))
+    ab, ac, bc = (e.select(F.col("low").alias(x), F.col("high").alias(y), F.col("w").alias(w)) for x, y, w in (("a", "b", "w1"), ("a", "c", "w2"), ("b", "c", "w3")))
     found = ab.join(ac, "a").where("b < c").join(bc, ["b", "c"]).withColumn("g", F.cbrt(F.col("w1") * F.col("w2") * F.col("w3")))
+    found = found.select(*[F.col(f"{x}.node").alias(x) for x in "abc"], "g")
     per = found.select(F.explode(F.array("a", "b", "c")).alias("node"), "g").groupBy("node").agg(F.count("*").alias("triangles"), F.sum("g").alias("g"))
     out = degrees(nodes, edges).join(per, "node", "left")
     possible = F.col("degree") * (F.col("degree") - 1) / 2
