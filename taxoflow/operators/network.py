@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from taxoflow.session import checkpointed
@@ -108,7 +108,7 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("node", F.coalesce("triangles", F.lit(0)).alias("triangles"), F.coalesce(F.try_divide("g", possible), F.lit(0.0)).alias("clustering"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(``node``, ``rank``) after a number of power iterations by weight; nodes without edges spread their rank evenly."""
     links = both_ways(edges)
     sums = links.groupBy("node").agg(F.sum("weight").alias("out"))
@@ -116,13 +116,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     base = nodes.select("node").join(sums, "node", "left").select("node", F.col("out").isNull().alias("idle"))
     n = base.agg(F.count("*").alias("n"))
     base = checkpointed(base.join(n))
-    ranks = base.select("node", "idle", "n", (1 / F.col("n")).alias("rank"))
-    for i in range(rounds):
+    ranks = base.select("node", "idle", (1 / F.col("n")).alias("rank"))
+    row = base.agg(F.sum(F.when(F.col("idle"), 1 / F.col("n")).otherwise(0.0)).alias("lost")).first()
+    for _ in range(rounds):
+        # One job a round: it cuts the lineage and sums the rank of the idle nodes for the next one.
+        lost = F.lit(row["lost"] or 0.0)
         given = links.join(ranks.select("node", "rank"), "node").groupBy(F.col("other").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("given"))
-        lost = ranks.agg(F.sum(F.when(F.col("idle"), F.col("rank")).otherwise(0.0)).alias("lost"))
-        ranks = base.join(given, "node", "left").join(lost).select("node", "idle", "n", ((1 - damping) / F.col("n") + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / F.col("n"))).alias("rank"))
-        if (i + 1) % cut_every == 0:
-            ranks = checkpointed(ranks)
+        fresh = base.join(given, "node", "left").select("node", "idle", ((1 - damping) / F.col("n") + damping * (F.coalesce("given", F.lit(0.0)) + lost / F.col("n"))).alias("rank"))
+        seen = Observation()
+        ranks = checkpointed(fresh, seen, lost=F.sum(F.when(F.col("idle"), F.col("rank")).otherwise(0.0)))
+        row = seen.get
     return ranks.select("node", "rank")
 
 
