@@ -80,8 +80,8 @@ def word_sets(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
 
 
 def frequencies(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How many rows of column ``w`` hold a word of each bucket, never fewer than hold the word; and the ``CODED``
-    most frequent words, sorted."""
+    """How many rows of column ``w`` hold a word of each bucket, never fewer than hold the word; and the most
+    frequent words, at most ``CODED``, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +89,14 @@ def frequencies(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], names=["w", "n"])
 
     counted = checkpointed(words.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    often = counted.orderBy(F.desc("n"), "w").limit(CODED).select("w").toArrow().column("w").to_numpy()
+    # The least power of two from which on at most CODED words occur, by the number of words between any two.
+    least, held = 63, 0
+    for row in counted.groupBy((F.length(F.bin("n")) - 1).alias("power")).agg(F.count("*").alias("words")).orderBy(F.desc("power")).collect():
+        held += row["words"]
+        if held > CODED:
+            break
+        least = row["power"]
+    often = counted.where(F.col("n") >= F.lit(2).cast("double") ** least).select("w").toArrow().column("w").to_numpy()
     by_bucket = counted.groupBy(F.shiftright("w", 16).bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, dtype=np.int64)
     out[by_bucket.column("b").to_numpy()] = by_bucket.column("n").to_numpy()
