@@ -35,9 +35,10 @@ def weights(df: DataFrame, id_: str, words: Column, most: float = 1.0, least: in
     if features is not None:
         spread = spread.orderBy(F.desc("all"), "term").limit(features)
     tf = 1 + F.log("tf") if log_tf else F.col("tf")
-    raw = terms.join(spread.select("term", "df", "n"), "term").select(id_, "term", "df", (tf * (1 + F.log((1 + F.col("n")) / (1 + F.col("df"))))).alias("w"))
-    length = raw.groupBy(id_).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return raw.join(length, id_).select(id_, "term", (F.col("w") / F.col("length")).alias("weight"), "df")
+    # A scan says nothing of how many terms its texts have: without the hint, terms of a small table of cards are broadcast.
+    raw = terms.hint("merge").join(spread.select("term", "df", "n"), "term").select(id_, "term", "df", (tf * (1 + F.log((1 + F.col("n")) / (1 + F.col("df"))))).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_)))
+    return raw.select(id_, "term", (F.col("w") / length).alias("weight"), "df")
 
 
 def _packed(w: DataFrame, id_: str, blocks: int, name: str) -> DataFrame:
