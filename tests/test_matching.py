@@ -20,3 +20,7 @@ def test_term_weights_keep_a_row_without_id(spark):
     got = {(r.id, r.term): r.weight for r in matching.weights(df, "id", F.col("w")).collect()}
     x, y = (1 + math.log(2)) * (1 + math.log(4 / 3)), 1 + math.log(4 / 2)
     assert set(got) == {("a", "x"), ("a", "y"), (None, "x")} and math.isclose(got["a", "x"], x / math.hypot(x, y)) and got[None, "x"] == 1.0
+
+
+def test_cluster_terms_broadcast_no_terms(spark):
+    assert "SortMergeJoin [term" in plan(catalogue.queries()["cluster_top_terms"](spark, "/root/testdata/sf0.001"))
