@@ -24,3 +24,7 @@ def test_term_weights_keep_a_row_without_id(spark):
 
 def test_cluster_terms_broadcast_no_terms(spark):
     assert "SortMergeJoin [term" in plan(catalogue.queries()["cluster_top_terms"](spark, "/root/testdata/sf0.001"))
+
+
+def test_lexical_contrast_broadcasts_no_terms(spark):
+    assert "SortMergeJoin [term" in plan(catalogue.queries()["lexical_contrast"](spark, "/root/testdata/sf0.001"))
