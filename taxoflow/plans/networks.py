@@ -386,8 +386,8 @@ _PAIRS_SQL = f"{TFIDF_SQL}, s AS (SELECT a.l4_id, b.l4_id AS other, round(sum(a.
 @R.query(f"""WITH {_PAIRS_SQL}, f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY l4_id ORDER BY score DESC, other) = 1) SELECT f.* FROM f JOIN d a ON a.l4_id = f.l4_id JOIN d b ON b.l4_id = f.other WHERE score >= 0.55 AND a.l1_id = b.l1_id""")
 def name_match_candidates(spark: SparkSession, root: str) -> DataFrame:
     """The best match of every card by name and definition, if it is good enough and of the same domain."""
-    t = checkpointed(name_weights(spark, root))
-    best = matching.best_match(matching.cosine_pairs(t, t, "l4_id", 0.55), "l4_id")
+    t = name_weights(spark, root)
+    best = matching.cosine_pairs(t, t, "l4_id", 0.55, k=1)
     cards = table(spark, root, "heart_l4_risk_cards").select("l4_id", "l1_id")
     return best.join(cards, "l4_id").join(cards.select(F.col("l4_id").alias("other"), F.col("l1_id").alias("l1_other")), "other").where("l1_id = l1_other").select("l4_id", "other", "score")
 
@@ -395,9 +395,8 @@ def name_match_candidates(spark: SparkSession, root: str) -> DataFrame:
 @R.query(f"WITH {_PAIRS_SQL}, n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY l4_id ORDER BY score DESC, other) <= 3) SELECT DISTINCT least(l4_id, other) AS src, greatest(l4_id, other) AS dst, score AS weight FROM n WHERE score >= 0.3")
 def name_neighbour_edges(spark: SparkSession, root: str) -> DataFrame:
     """Edges to the three nearest cards by name and definition, from a similarity of 0.3 on."""
-    t = checkpointed(name_weights(spark, root))
-    near = Window.partitionBy("l4_id").orderBy(F.desc("score"), "other")
-    links = matching.cosine_pairs(t, t, "l4_id", 0.3).withColumn("n", F.row_number().over(near)).where("n <= 3")
+    t = name_weights(spark, root)
+    links = matching.cosine_pairs(t, t, "l4_id", 0.3, k=3)
     return links.select(F.least("l4_id", "other").alias("src"), F.greatest("l4_id", "other").alias("dst"), F.col("score").alias("weight")).distinct()
 
 
@@ -432,7 +431,7 @@ def record_match_candidates(spark: SparkSession, root: str) -> DataFrame:
     """For monitor records that name no incident the best match in the database, if good enough and not over a year apart."""
     rows, t = story_weights(spark, root)
     of = lambda s: t.join(rows.where(F.col("source") == s).select("record_uid"), "record_uid", "left_semi")
-    best = matching.best_match(matching.cosine_pairs(of("OECD AIM"), of("AIID"), "record_uid", MATCH), "record_uid")
+    best = matching.cosine_pairs(of("OECD AIM"), of("AIID"), "record_uid", MATCH, k=1)
     asked = rows.where("NOT linked").select("record_uid", "event_year")
     both = best.join(asked, "record_uid").join(rows.select(F.col("record_uid").alias("other"), F.col("event_year").alias("other_year")), "other")
     both = both.withColumn("years", F.abs(F.col("event_year") - F.col("other_year")))
