@@ -60,3 +60,8 @@ def test_rows_are_shuffled_once_whatever_the_number_of_blocks(spark, monkeypatch
     monkeypatch.setattr(matching, "BLOCK", 4)
     t = spark.createDataFrame([(i, f"w{i % 7}", 1.0) for i in range(64)], "id long, term string, weight double")
     assert "Generate explode" not in plan(matching.cosine_pairs(t, t, "id", 0.5, 1))
+
+
+def test_neighbour_edges_repeat_no_block(spark):
+    # Blocks were repeated for every other block, which are shuffled rows by the square of the table.
+    assert "explode(sequence(0" not in plan(catalogue.queries()["name_neighbour_edges"](spark, "/root/testdata/sf0.001"))
