@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from taxoflow.operators.numbering import numbered
-from taxoflow.session import parallelism
+from taxoflow.session import parallelism, scratch
 
 
 def keyed(seed: int, *parts: Column) -> Column:
@@ -24,6 +28,89 @@ def hash_index(seed: int, n: Column, *parts: Column) -> Column:
     return F.conv(F.substring(keyed(seed, *parts), 1, 12), 16, 10).cast("long") % n
 
 
+_MD5_TURNS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
+_MD5_ADDED = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+def hash_indices(seed: int, n: int, rep: int) -> Iterator[np.ndarray]:
+    """``hash_index`` of the repetition and 0, 1, ... n - 1, in this order and in pieces: MD5 of many short texts at once."""
+    low = np.array([int(hashlib.md5(f"{seed}|{rep}|{i}".encode()).hexdigest()[:12], 16) for i in range(min(n, 10_000))], np.uint64)
+    yield (low % np.uint64(n)).astype(np.int64)
+    digits = np.array([list(f"{i:04d}".encode()) for i in range(10_000)], np.uint8)
+    for high in range(1, -(-n // 10_000)):
+        rows = min(10_000, n - high * 10_000)
+        start = f"{seed}|{rep}|{high}".encode()
+        text = np.zeros((rows, 64), np.uint8)
+        text[:, : len(start)], text[:, len(start) : len(start) + 4], text[:, len(start) + 4] = np.frombuffer(start, np.uint8), digits[:rows], 128
+        text[:, 56:58] = divmod(8 * (len(start) + 4), 256)[::-1]
+        words = text.view("<u4")
+        changing = {len(start) // 4, (len(start) + 3) // 4}
+        m = [np.ascontiguousarray(words[:, i]) if i in changing else words[0, i] for i in range(16)]
+        first = [np.full(rows, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+        (a, b, c, d), f, g = (x.copy() for x in first), np.empty(rows, np.uint32), np.empty(rows, np.uint32)
+        for i in range(64):
+            if i < 16:
+                word = i
+                np.bitwise_xor(d, np.bitwise_and(b, np.bitwise_xor(c, d, out=f), out=f), out=f)
+            elif i < 32:
+                word = (5 * i + 1) % 16
+                np.bitwise_xor(c, np.bitwise_and(d, np.bitwise_xor(b, c, out=f), out=f), out=f)
+            elif i < 48:
+                word = (3 * i + 5) % 16
+                np.bitwise_xor(np.bitwise_xor(b, c, out=f), d, out=f)
+            else:
+                word = 7 * i % 16
+                np.bitwise_xor(c, np.bitwise_or(b, np.invert(d, out=f), out=f), out=f)
+            f += a
+            if word in changing:
+                f += m[word]
+                f += np.uint32(_MD5_ADDED[i])
+            else:
+                f += np.uint32((int(m[word]) + _MD5_ADDED[i]) & 0xFFFFFFFF)
+            np.left_shift(f, np.uint32(_MD5_TURNS[i]), out=g)
+            f >>= np.uint32(32 - _MD5_TURNS[i])
+            g |= f
+            g += b
+            a, b, c, d, g = d, g, b, c, a
+        a, b = (a + first[0]).byteswap().astype(np.uint64), (b + first[1]).byteswap().astype(np.uint64)
+        yield (((a << np.uint64(16)) | (b >> np.uint64(16))) % np.uint64(n)).astype(np.int64)
+
+
+def resampled_counts(groups: DataFrame, reps: int, seed: int, together: int = 4) -> DataFrame:
+    """(``rep``, ``item``, ``n``): how often each item is drawn when as many groups are drawn as there are, with repetition, once per
+    repetition. ``groups`` has ``i``, 0, 1, ..., and ``items``, distinct codes from 1 on.
+
+    The groups are written once; a task draws for some repetitions and reads them. Nothing is shuffled but its sums; it holds four bytes a group
+    and repetition.
+    """
+    spark, path = groups.sparkSession, scratch(groups.sparkSession, "groups")
+    groups.select(F.col("i").cast("long").alias("i"), F.col("items").cast("array<int>").alias("items")).write.option("compression", "zstd").parquet(path)
+    n = spark.read.parquet(path).count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = [rep for batch in batches for rep in batch.column("id").to_pylist()]
+        if not mine or not n:
+            return
+        times = np.zeros((len(mine), n), np.int32)
+        for at, rep in enumerate(mine):
+            for drawn in hash_indices(seed, n, rep):
+                np.add.at(times[at], drawn, 1)
+        files, where = pa.fs.FileSystem.from_uri(path)
+        sums = [np.zeros(1, np.int64) for _ in mine]
+        for batch in ds.dataset(where, filesystem=files, format="parquet").to_batches(columns=["i", "items"]):
+            lists, i = batch.column("items"), batch.column("i").to_numpy()
+            size, items = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+            for at in range(len(mine)):
+                more = np.bincount(items, weights=np.repeat(times[at][i], size), minlength=len(sums[at])).astype(np.int64)
+                more[: len(sums[at])] += sums[at]
+                sums[at] = more
+        for rep, total in zip(mine, sums):
+            kept = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), rep, np.int64)), pa.array(kept.astype(np.int64)), pa.array(total[kept])], names=["rep", "item", "n"])
+
+    return spark.range(1, reps + 1, 1, -(-reps // together)).mapInArrow(run, "rep long, item long, n long")
+
+
 def replicated(df: DataFrame, reps: int, name: str = "rep") -> DataFrame:
     """Each row once per repetition, numbered from 1."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(reps).cast("long"))))

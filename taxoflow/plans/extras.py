@@ -9,7 +9,7 @@ from taxoflow.operators import models, network, numbering, similarity, stats
 from taxoflow.plans import networks as nw
 from taxoflow.plans.registry import Registry
 from taxoflow.plans.statistics import strengths
-from taxoflow.session import checkpointed
+from taxoflow.session import checkpointed, written
 from taxoflow.sources import table
 
 R = Registry()
@@ -106,13 +106,15 @@ c AS (SELECT rep, p_brand, count(*) AS n FROM d JOIN o ON o.i = d.k JOIN h ON h.
 SELECT p_brand, CAST(min(r) AS INTEGER) AS best, CAST(max(r) AS INTEGER) AS worst, round(avg(r), 6) AS mean, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM r GROUP BY p_brand""")
 def bootstrap_rank_intervals(spark: SparkSession, root: str) -> DataFrame:
     """Intervals of the brands' ranks by number of orders over 300 resamples of orders."""
-    h = checkpointed(nw.held(spark, root).distinct())
-    orders = numbering.numbered(h.select("l_orderkey").distinct(), ["l_orderkey"], "i").withColumn("i", F.col("i") - 1)
-    orders = checkpointed(orders.join(h.groupBy("l_orderkey").agg(F.collect_list("p_brand").alias("brands")), "l_orderkey").select("i", "brands"))
-    n = orders.agg(F.count("*").alias("n"))
-    # How often each order is drawn, summed before the brands are looked up.
-    drawn = stats.replicated(orders.select("i").join(n), 300).select("rep", stats.hash_index(5, F.col("n"), F.col("rep"), F.col("i")).alias("i")).groupBy("i", "rep").agg(F.count("*").alias("times"))
-    counts = drawn.join(orders, "i").select("rep", "times", F.explode("brands").alias("p_brand")).groupBy("rep", "p_brand").agg(F.sum("times").alias("n"))
+    parts = table(spark, root, "part").select("p_partkey", "p_brand")
+    brands = numbering.numbered(parts.select("p_brand").distinct(), ["p_brand"], "item")
+    coded = parts.join(brands.withColumnRenamed("p_brand", "b"), F.col("p_brand").eqNullSafe(F.col("b"))).select("p_partkey", F.col("item").cast("int").alias("item"))
+    lines = table(spark, root, "lineitem").select("l_orderkey", "l_partkey").join(coded, F.col("l_partkey") == F.col("p_partkey"))
+    held = written(lines.groupBy("l_orderkey").agg(F.collect_set("item").alias("items")))
+    orders = numbering.numbered(held, [F.col("l_orderkey").asc_nulls_last()], "i")
+    # An order without a key is drawn, but has no brands.
+    orders = orders.select(F.col("i") - 1, F.when(F.col("l_orderkey").isNotNull(), F.col("items")).otherwise(F.array().cast("array<int>")).alias("items"))
+    counts = stats.resampled_counts(orders.toDF("i", "items"), 300, 5).join(brands, "item")
     ranked = counts.withColumn("r", F.rank().over(Window.partitionBy("rep").orderBy(F.desc("n"))))
     cut = F.percentile("r", F.array(F.lit(0.025), F.lit(0.975)))
     out = ranked.groupBy("p_brand").agg(F.min("r").alias("best"), F.max("r").alias("worst"), F.round(F.avg("r"), 6).alias("mean"), cut.alias("q"))
