@@ -156,7 +156,8 @@ SELECT l1_id, term, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVE
 def cluster_top_terms(spark: SparkSession, root: str) -> DataFrame:
     cards = table(spark, root, "heart_l4_risk_cards").where("l1_id IS NOT NULL").select("l4_id", "l1_id")
     sizes = cards.groupBy("l1_id").agg(F.count("*").alias("n"))
-    means = nw.name_weights(spark, root).join(cards, "l4_id").groupBy("l1_id", "term").agg(F.sum("weight").alias("w")).join(sizes, "l1_id").select("l1_id", "term", F.round(F.col("w") / F.col("n"), 9).alias("w"))
+    # Weights come in order of the cards, which a scan's size would have broadcast, however many they are.
+    means = nw.name_weights(spark, root).join(cards.hint("merge"), "l4_id").groupBy("l1_id", "term").agg(F.sum("weight").alias("w")).join(sizes, "l1_id").select("l1_id", "term", F.round(F.col("w") / F.col("n"), 9).alias("w"))
     return means.withColumn("place", F.row_number().over(Window.partitionBy("l1_id").orderBy(F.desc("w"), "term"))).where("place <= 3").select("l1_id", "term", "place")
 
 
