@@ -96,7 +96,7 @@ SELECT term, round(a - b, 6) AS contrast FROM m ORDER BY round(a - b, 6) DESC, t
 def lexical_contrast(spark: SparkSession, root: str) -> DataFrame:
     cards = table(spark, root, "heart_l4_risk_cards").select("l4_id", F.coalesce(F.col("l1_id") == "L1_P", F.lit(False)).alias("p"))
     sizes = cards.agg(F.count_if("p").alias("np"), F.count_if(~F.col("p")).alias("no"))
-    w = nw.name_weights(spark, root).join(cards, "l4_id").groupBy("term").agg(F.sum(F.when(F.col("p"), F.col("weight")).otherwise(0.0)).alias("a"), F.sum(F.when(~F.col("p"), F.col("weight")).otherwise(0.0)).alias("b"))
+    w = nw.name_weights(spark, root).join(cards.hint("merge"), "l4_id").groupBy("term").agg(F.sum(F.when(F.col("p"), F.col("weight")).otherwise(0.0)).alias("a"), F.sum(F.when(~F.col("p"), F.col("weight")).otherwise(0.0)).alias("b"))
     return w.join(sizes).select("term", F.round(F.try_divide("a", "np") - F.try_divide("b", "no"), 6).alias("contrast")).orderBy(F.desc("contrast"), "term").limit(20)
 
 

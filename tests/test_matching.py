@@ -34,6 +34,10 @@ def test_cluster_terms_broadcast_no_cards(spark):
     assert "BroadcastHashJoin [l4_id" not in plan(catalogue.queries()["cluster_top_terms"](spark, "/root/testdata/sf0.001"))
 
 
+def test_lexical_contrast_broadcasts_no_cards(spark):
+    assert "BroadcastHashJoin [l4_id" not in plan(catalogue.queries()["lexical_contrast"](spark, "/root/testdata/sf0.001"))
+
+
 def brute(rows, others, least, k):
     out = set()
     for i, x in rows.items():
