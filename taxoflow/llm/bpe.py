@@ -75,17 +75,23 @@ class Encoder:
         self.automaton.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, list[int]] = {}
+        self.known_sizes: dict[str, bytes] = {}
         # Decoding: all tokens' bytes in one buffer, and where each begins.
         self.lengths = np.zeros(max(tokens) + 1, dtype=np.int64)
         for i, text in tokens.items():
             self.lengths[i] = len(text)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        # Each token's length as an item of an array, to be joined with others.
+        self.item = np.dtype(np.uint8 if self.lengths.max() < 256 else np.uint32)
+        self.items = [n.tobytes() for n in self.lengths.astype(self.item)]
         self.buffer = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(max(tokens) + 1)), dtype=np.uint8)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves the two tokens side by side."""
         known = self.fits.get((left, right))
         if known is None:
+            if len(self.fits) >= 2 * MEMO_ENTRIES:
+                self.fits.clear()
             known = self.fits[left, right] = self._compatible(left, right)
         return known
 
@@ -152,6 +158,29 @@ class Encoder:
         memo, chunk = self.memo.get, self.chunk
         return list(chain.from_iterable([memo(c) or chunk(c) for c in CHUNKS.findall(text)]))
 
+    def _sizes(self, text: str, whole: bool) -> bytes:
+        """Sizes of the tokens of a piece, if it is a whole one, or of a chunk. Both share one memo, as a piece by itself is a chunk of that piece."""
+        if whole:
+            found = b"".join([self.items[i] for i in self.piece(text.encode())])
+        else:
+            memo, pieces = self.known_sizes.get, PIECES.findall(text) or [text]
+            found = b"".join([memo(p) or self._sizes(p, True) for p in pieces])
+            if len(pieces) == 1:
+                return found
+        if len(text) <= MEMO_CHARACTERS:
+            if len(self.known_sizes) >= MEMO_ENTRIES:
+                self.known_sizes.clear()
+            self.known_sizes[text] = found
+        return found
+
+    def sizes(self, text: str | None) -> np.ndarray:
+        """Bytes of each token of a text: the lengths of what ``encode`` gives, without lists of ids. Pieces are
+        remembered, too, since new chunks, as addresses and numbers, are mostly made of known ones."""
+        if not text:
+            return np.empty(0, self.item)
+        memo = self.known_sizes.get
+        return np.frombuffer(b"".join([memo(c) or self._sizes(c, False) for c in CHUNKS.findall(text)]), dtype=self.item)
+
     def decode(self, ids: list[int]) -> str:
         """The text of token ids, by offsets into the buffer of all tokens."""
         i = np.asarray(ids, dtype=np.int64)

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxoflow.llm.bpe import DEFAULT_VOCABULARY, Encoder, encoder
+from taxoflow.llm.bpe import DEFAULT_VOCABULARY, encoder
 
 #: Pieces whose sizes are summed up in one run, and bytes of a text that may be copied for each piece.
 RUN, COPIED = 1000, 1 << 16
@@ -26,12 +26,11 @@ _CLOSING[list(b"\"')]}")] = True
 _WIDE_STOPS, _WIDE_PAUSES = "。！？｡", "、，；："
 
 
-def marks(enc: Encoder, text: str) -> tuple[bytes, np.ndarray, np.ndarray, bytes]:
-    """One mark per token of the text; up to each token's end the bytes, on to the next whole character, and the
-    characters begun; and the text's bytes."""
-    raw = text.encode()
+def marks(text: str, raw: bytes, sizes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, bytes]:
+    """One mark per token of the text, from its bytes and those of each token; up to each token's end the bytes, on to
+    the next whole character, and the characters begun; and the text's bytes."""
     data = np.frombuffer(raw, dtype=np.uint8)
-    ends = np.cumsum(enc.lengths[np.array(enc.encode(text), dtype=np.int64)])
+    ends = np.cumsum(sizes, dtype=np.int64)
     padded = np.concatenate([[10, 10, 10], data, [10, 10, 10, 10]]).astype(np.uint8)
     before2, before, last, following = (padded[ends + i] for i in range(4))
     spaced = _SPACE[following]
@@ -40,7 +39,7 @@ def marks(enc: Encoder, text: str) -> tuple[bytes, np.ndarray, np.ndarray, bytes
     out[spaced & _PAUSE[last]] = CLAUSE
     out[spaced & (_STOP[last] | (_CLOSING[last] & _STOP[before]))] = SENTENCE
     for characters, mark in ((_WIDE_PAUSES, CLAUSE), (_WIDE_STOPS, SENTENCE)):
-        for one in characters:
+        for one in filter(text.__contains__, characters):
             x, y, z = one.encode()
             out[(before2 == x) & (before == y) & (last == z)] = mark
     out[last == 10] = LINE
@@ -88,8 +87,11 @@ def split_long(df: DataFrame, key: str, text: str, limit: int = 512, overlap: in
         enc, found = encoder(vocabulary), []
         for t in texts.to_pylist():
             # A text of at most `limit` bytes cannot have more tokens.
-            one = marks(enc, t) if t and len(t) * 4 > limit and len(t.encode()) > limit else (b"", None, None, None)
-            found.append((one[0].decode("ascii"), *one[1:]) if len(one[0]) > limit else (None, None, None, None))
+            one = (None, None, None, None)
+            if t and len(t) * 4 > limit and len(raw := t.encode()) > limit and len(sizes := enc.sizes(t)) > limit:
+                one = marks(t, raw, sizes)
+                one = (one[0].decode("ascii"), *one[1:])
+            found.append(one)
         kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
         return pa.StructArray.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*found), kinds)] if found else [pa.array([], kind) for kind in kinds], names=["marks", "bytes", "chars", "data"])
 

@@ -41,6 +41,22 @@ def test_memo_is_bounded(reference, monkeypatch):
         assert len(e.memo) <= 3
 
 
+def test_token_sizes_equal_reference_and_are_remembered(reference, monkeypatch):
+    e = bpe.Encoder(PATH)
+    for t in [*odd_texts(), "x" * 500 + "-7" * 500]:
+        assert e.sizes(t).tolist() == [len(reference.decode_single_token_bytes(i)) for i in reference.encode_ordinary(t)], repr(t)
+    assert e.sizes(None).tolist() == []
+    # Pieces that new chunks are made of are encoded once.
+    seen, piece = [], e.piece
+    monkeypatch.setattr(e, "piece", lambda data: seen.append(data) or piece(data))
+    e.sizes(" ".join(f"https://qwzkx.example/{i}/vbnrtq" for i in range(1000, 1200)))
+    assert seen and len(seen) == len(set(seen))
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 3)
+    small = bpe.Encoder(PATH)
+    for t in odd_texts()[:200]:
+        assert small.sizes(t).tolist() == e.sizes(t).tolist() and len(small.known_sizes) <= 3 and len(small.fits) <= 6
+
+
 def test_ids_column(spark, reference, monkeypatch):
     monkeypatch.setattr(bpe, "FLUSH", 50)
     rows = [(i, t, 1, "x") for i, t in enumerate([*odd_texts()[:300], None, ""])]
